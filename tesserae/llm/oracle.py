@@ -11,7 +11,7 @@ def jaccard_components(k: int, percent: int, source: str = "documents") -> str:
     return rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER.format("text")}, '{WORD}') AS w FROM {source}),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
-  ELSE list_transform(range(1, len(w) - {k - 2}), i -> {shingle}) END) AS sh FROM d),
+  ELSE list_transform(range(1, len(w) - {k - 2}), lambda i: {shingle}) END) AS sh FROM d),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
