@@ -29,7 +29,7 @@ HEAD = len(MAGIC) + 32 + 1
 DICTIONARY_BYTES, SAMPLE_DOCUMENTS, SAMPLE_IDS = 1 << 16, 2000, 4096
 INDEX = (("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4"))
 #: Unicode white space. Byte-level BPE starts a new word at each run of it, so what lies between two starts is encoded alone.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 CACHE_UNITS, CACHE_CHARS = 300_000, 8_000_000
 
