@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tesserae.llm import oracle
+from tesserae.llm.lm import score_texts
 from tesserae.llm.near import jaccard_components
 from tesserae.llm.tokens import read_token_files, write_token_files
 
@@ -28,6 +30,16 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, shards)
 
 
+def fold(n: int):
+    """crc32(doc_id as text) mod n; a null doc_id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
+
+
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a language model learnt from the folds other than 2 of 7."""
+    return score_texts(table(spark, sf_dir, "documents"), fold(7) == 2)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
@@ -35,6 +47,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op3_lm_scores": op3_lm_scores,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
 }
 
