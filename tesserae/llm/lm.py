@@ -6,7 +6,8 @@ is missing, and takes the middle of the last level found for the count. The filt
 most `filter_bytes`; where a region of it would overflow, its least pair count rises until the region fits. It is broadcast.
 
 The probability is that of a Dirichlet prior: P(w | v) = (c(vw) + kappa * P(w)) / (c(v) + kappa), with
-P(w) = (c(w) + 1) / (N + V + 1). kappa maximises the leave-one-out likelihood on a bounded sample of training documents.
+P(w) = (c(w) + 1) / (N + V + 1). kappa maximises the likelihood of a bounded sample of training documents, each scored by the
+counts without those that it brought itself.
 
 The base score needs every word's exact count. The most frequent words (`listed` at most) are broadcast; all others go as
 (row, word) through a join with the table of counts. A listed word is never in that join, so no key of it is hot.
@@ -153,19 +154,26 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, listed: int = LISTE
     model = {"bits": bits, "words": sizes, "start": np.cumsum(sizes) - sizes, "filter": joined("filter"), "keys": joined("keys"), "counts": joined("counts"), "n": int(n), "v": int(v), "first": {WORDS: 1, PAIRS: int(quantised(np.array([LEAST_PAIR]))[0])}}
     sample = docs.select(F.substring("text", 1, KAPPA_CHARS).alias("text")).orderBy(F.xxhash64("text")).limit(KAPPA_DOCUMENTS).toArrow()
     raw, offsets = utf8(sample.column("text"))
-    t, _ = tokens(raw, offsets)
-    model["kappa"] = max((4.0**i for i in range(12)), key=lambda kappa: float(log_probabilities(model | {"kappa": kappa}, t, 1).sum()))
+    t, doc = tokens(raw, offsets)
+    own = [times_in(keys, doc) for keys in (t, np.concatenate([np.array([END], np.uint64), t[:-1]]), pair_keys(t))]
+    model["kappa"] = max((4.0**i for i in range(12)), key=lambda kappa: float(log_probabilities(model | {"kappa": kappa}, t, own).sum()))
     return model, words
 
 
-def log_probabilities(model: dict, t: np.ndarray, leave: int = 0) -> np.ndarray:
-    """log10 P of each token; with leave=1 each is scored by the counts without itself."""
+def times_in(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """How often each key occurs in its own document."""
+    _, place, n = np.unique(mix(keys + mix(doc.astype(np.uint64))), return_inverse=True, return_counts=True)
+    return n[place]
+
+
+def log_probabilities(model: dict, t: np.ndarray, leave=(0, 0, 0)) -> np.ndarray:
+    """log10 P of each token; `leave` is taken off the counts of the token, of the one before it and of the pair."""
     own, place = np.unique(t, return_inverse=True)
     single = middle(probe_levels(model, WORDS, own))[place]
     before = np.concatenate([middle(probe_levels(model, WORDS, np.array([END], np.uint64))), single[:-1]])
     pair = middle(probe_levels(model, PAIRS, pair_keys(t)))
     pair = np.minimum(pair, np.minimum(single, before))
-    single, before, pair = (np.maximum(x - leave, 0) for x in (single, before, pair))
+    single, before, pair = (np.maximum(x - n, 0) for x, n in zip((single, before, pair), leave, strict=True))
     alone = np.minimum((single + 1) / (model["n"] + model["v"] + 1), 1.0)
     return np.log10((pair + model["kappa"] * alone) / (before + model["kappa"]))
 
