@@ -7,7 +7,10 @@
    write their set, and its prefix: the n - ceil(percent * n) + 1 first shingles, where unlisted ones come first, in order of
    hash, and then listed ones from rare to frequent. Two linked sets share a shingle of their prefixes.
 3. Equal sets collapse to one node, nodes with equal prefix and size to one group. Groups that share a prefix shingle meet.
-4. First every group is verified against one pivot of each shingle, every member against its group's pivot, so that a family
+4. Of a pair is known: both sizes, how many shingles of either are repeated at all, and a signature with the parity of the
+   shingles in each of SIGNATURE bins. Differing bins can't outnumber differing shingles, so the join drops only pairs that
+   can't link.
+5. First every group is verified against one pivot of each shingle, every member against its group's pivot, so that a family
    of near copies becomes one component at linear cost. Then what still shares a shingle across components is expanded to
    member pairs and verified, every pair of them. No link is lost; links inside a component need not be listed.
 
@@ -16,9 +19,11 @@ Nodes are 64-bit sums over the set: at 10**9 different sets, two of them agree b
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.counting import bit_places, by_region, emit_counts, filter_of, filter_words, region_bits
@@ -27,6 +32,7 @@ from tesserae.session import cut
 
 FILTER_BYTES = 64 << 20
 LISTED = 1 << 20
+SIGNATURE = 1024
 KEY_MASK = 0xFFFFFFFFFF000000
 
 
@@ -48,7 +54,7 @@ def repeated_shingles(docs: DataFrame, k: int, filter_bytes: int = FILTER_BYTES,
     def count(batches):
         return emit_counts((hashes & np.uint64(KEY_MASK) for batch in batches for _, _, hashes in _sets(batch, k)), bits)
 
-    def reduce(_, region, keys, counts):
+    def digest(_, region, keys, counts):
         keys, counts = keys[counts > 1], counts[counts > 1]
         words = min(filter_words(len(keys), 10.0), most_words)
         least = 8
@@ -58,7 +64,7 @@ def repeated_shingles(docs: DataFrame, k: int, filter_bytes: int = FILTER_BYTES,
         return pa.table({"region": pa.array([region], pa.int32()), "words": pa.array([words], pa.int64()), "filter": [filter_of(keys, words).tobytes()], "keys": [keys[heavy].tobytes()], "counts": [counts[heavy].tobytes()]})
 
     blobs = docs.select("text").mapInArrow(count, "kind int, region int, blob binary")
-    rows = by_region(blobs, reduce, "region int, words long, filter binary, keys binary, counts binary").collect()  # bounded: filter_bytes and listed * 16 bytes
+    rows = by_region(blobs, digest, "region int, words long, filter binary, keys binary, counts binary").collect()  # bounded: filter_bytes and listed * 16 bytes
     words = np.full(1 << bits, 0, np.int64)
     for r in rows:
         words[r.region] = r.words
@@ -102,7 +108,7 @@ def _prefix(known: dict, own: np.ndarray, length: int) -> np.ndarray:
 
 
 def _nodes_of(docs: DataFrame, known, k: int, percent: int) -> DataFrame:
-    """Each document with n_shingles and, where it may link, its node; the first of a node in a task also has prefix and set."""
+    """Each document with n_shingles and, where it may link, its node; the first of a node in a task has all else."""
 
     def run(batches):
         info, seen = known.value, set()
@@ -115,22 +121,36 @@ def _nodes_of(docs: DataFrame, known, k: int, percent: int) -> DataFrame:
                 may = (n > 0) & (100 * (total[bounds[1:]] - total[bounds[:-1]]) >= percent * n)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(0x8EBC6AF09C88C6E3)), dtype=np.uint64)])
                 node = mix(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64)).view(np.int64)
-                prefix, sets = [None] * len(n), [None] * len(n)
+                prefix, sets, marks = [None] * len(n), [None] * len(n), [None] * len(n)
                 for i in np.flatnonzero(may):
                     if int(node[i]) not in seen:
                         seen.add(int(node[i]))
                         own = hashes[bounds[i] : bounds[i + 1]]
-                        prefix[i] = _prefix(info, own[passed[bounds[i] : bounds[i + 1]]], max(0, len(own) + (-len(own) * percent // 100) + 1 - int(n[i] - (total[bounds[i + 1]] - total[bounds[i]])))).view(np.int64)
+                        single = int(n[i] - (total[bounds[i + 1]] - total[bounds[i]]))  # these come first and meet nothing
+                        prefix[i] = _prefix(info, own[passed[bounds[i] : bounds[i + 1]]], max(0, len(own) + (-len(own) * percent // 100) + 1 - single)).view(np.int64)
                         sets[i] = own.tobytes()
-                yield pa.RecordBatch.from_arrays([ids.slice(a, len(n)), pa.array(n, pa.int64()), pa.array(node, pa.int64(), mask=~may), pa.array(prefix, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "n_shingles", "node", "prefix", "shingles"])
+                        marks[i] = np.packbits(np.bincount((own & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE).astype(np.uint8) & 1).view(np.int64)
+                meets = pa.array(total[bounds[1:]] - total[bounds[:-1]], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.slice(a, len(n)), pa.array(n, pa.int64()), pa.array(node, pa.int64(), mask=~may), meets, pa.array(prefix, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "meets", "prefix", "shingles", "marks"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, meets long, prefix array<long>, shingles binary, marks array<long>")
+
+
+def _side(name: str) -> list[Column]:
+    """Columns of a member as one side of a pair."""
+    return [F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("meets").alias(f"m{name}"), *(F.col(f"s{i}").alias(f"s{name}{i}") for i in range(SIGNATURE // 64))]
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, prefix array<long>, shingles binary")
+def _may_link(percent: int) -> Column:
+    """Whether sides a and b may link, by sizes, repeated shingles and signatures; true for all that do."""
+    size, most = F.col("na") + F.col("nb"), F.least("ma", "mb")
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"sa{i}").bitwiseXOR(F.col(f"sb{i}"))) for i in range(SIGNATURE // 64)))
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (100 * most >= percent * (size - most)) & ((100 + percent) * apart <= (100 - percent) * size)
 
 
 def _verified(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b, na, nb) whose sets overlap enough."""
-    pairs = pairs.where((F.col("a") != F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = cut(pairs, "pairs")
+    """Those of the pairs (a, b) whose sets overlap enough."""
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = heads.select("node", "shingles").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -184,26 +204,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, filter_by
     known = sc.broadcast(repeated_shingles(docs, k, filter_bytes, listed))
     rows = cut(_nodes_of(docs, known, k, percent), "nodes")
     heads = rows.where("shingles is not null").withColumn("g", F.xxhash64("prefix", "n_shingles"))
-    members = cut(heads.groupBy("node").agg(F.min("g").alias("g"), F.min("n_shingles").alias("n")), "members")
-    groups = members.groupBy("g").agg(F.min(F.struct("node", "n")).alias("pivot"), F.count("*").alias("size"))
+    members = heads.select("node", "g", F.col("n_shingles").alias("n"), "meets", *(F.col("marks")[i].alias(f"s{i}") for i in range(SIGNATURE // 64)))
+    members = cut(members.dropDuplicates(["node"]), "members")
+    groups = cut(members.groupBy("g").agg(F.min("node").alias("node"), F.count("*").alias("size")), "groups")
     postings = heads.select("g", "prefix").dropDuplicates(["g"]).select(F.explode("prefix").alias("t"), "g")
     postings = cut(postings, "postings")
     stats = postings.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("t", "lo")
     shared = cut(postings.join(stats, "t"), "shared")
 
-    pivots = cut(groups, "groups")
-    point = lambda name: pivots.select(F.col("g").alias(f"{name}g"), F.col("pivot.node").alias(name), F.col("pivot.n").alias(f"n{name}"))
-    across = shared.where("lo != g").select(F.col("lo").alias("ag"), F.col("g").alias("bg")).distinct().join(point("a"), "ag").join(point("b"), "bg").select("a", "b", "na", "nb")
-    inside = members.select(F.col("g").alias("ag"), F.col("node").alias("b"), F.col("n").alias("nb")).join(point("a"), "ag").select("a", "b", "na", "nb")
+    pivots = members.join(groups.select("g", "node"), ["g", "node"], "left_semi")
+    point = lambda name: pivots.select(F.col("g").alias(f"{name}g"), *_side(name))
+    across = shared.where("lo != g").select(F.col("lo").alias("ag"), F.col("g").alias("bg")).distinct().join(point("a"), "ag").join(point("b"), "bg").where(_may_link(percent)).select("a", "b")
+    inside = members.select(F.col("g").alias("ag"), *_side("b")).join(point("a"), "ag").where((F.col("a") != F.col("b")) & _may_link(percent)).select("a", "b")
     first = components(members, _verified(across.unionByName(inside), heads, percent))
 
     located = members.join(first, "node")
-    met = shared.select("t", "g").unionByName(pivots.where("size > 1").select(F.col("g").alias("t"), "g"))
-    met = met.join(located, "g").select("t", "node", "n", "comp")
+    met = shared.select("t", "g").unionByName(groups.where("size > 1").select(F.col("g").alias("t"), "g"))
+    met = met.join(located.select("node", "g", "comp"), "g").select("t", "node", "comp")
     apart = met.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t")
-    met = cut(met.join(apart, "t", "left_semi"), "met")
-    left, right = (met.select("t", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}")) for x in "ab")
-    rest = left.join(right, "t").where((F.col("ca") < F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", "na", "nb")
+    met = cut(met.join(apart, "t", "left_semi").select("t", "node").distinct().join(located.drop("g"), "node"), "met")
+    left, right = (met.select("t", F.col("comp").alias(f"c{x}"), *_side(x)) for x in "ab")
+    rest = left.join(right, "t").where((F.col("ca") < F.col("cb")) & _may_link(percent)).select("a", "b")
     late = _verified(rest, heads, percent)
     named = late.join(first.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(first.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     last = components(first.select(F.col("comp").alias("node")).distinct(), named).withColumnRenamed("comp", "last").withColumnRenamed("node", "comp")
