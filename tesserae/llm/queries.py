@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import oracle
-from tesserae.llm.lm import score_texts
+from tesserae.llm import lm, oracle, toxicity
 from tesserae.llm.near import jaccard_components
 from tesserae.llm.tokens import read_token_files, write_token_files
 
@@ -37,7 +36,12 @@ def fold(n: int):
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a language model learnt from the folds other than 2 of 7."""
-    return score_texts(table(spark, sf_dir, "documents"), fold(7) == 2)
+    return lm.score_texts(table(spark, sf_dir, "documents"), fold(7) == 2)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of being toxic, learnt from labelled documents of the folds other than 0 of 5."""
+    return toxicity.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5) == 0)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +52,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_lm_scores": op3_lm_scores,
+    "op4_toxicity": op4_toxicity,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
 }
 
