@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.counting import bit_places, by_region, emit_counts, filter_words, region_bits
 from tesserae.llm.kernels import chunks, hash_bytes, mix, pack_counts, unpack_counts, utf8, word_hashes
-from tesserae.session import cut
+from tesserae.session import bound_batches, cut
 
 STEP = 1.5
 PER_EVENT, PROBES = 10.0, 4
@@ -185,6 +185,7 @@ def score_texts(docs: DataFrame, is_held_out, filter_bytes: int = FILTER_BYTES,
     nothing else. Repeated rows are trained on and scored as often as they occur. Without training rows every count is 0.
     Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(is_held_out, F.lit(False)).alias("held_out"))
     model, words = train(docs.where(~F.col("held_out")), filter_bytes, listed)
     shared = docs.sparkSession.sparkContext.broadcast(model)

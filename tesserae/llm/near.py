@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.counting import bit_places, by_region, emit_counts, filter_of, filter_words, region_bits
 from tesserae.llm.kernels import chunks, mix, shingles, utf8, word_hashes
-from tesserae.session import cut
+from tesserae.session import bound_batches, cut
 
 FILTER_BYTES = 64 << 20
 LISTED = 1 << 20
@@ -199,6 +199,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, filter_by
     nothing. Repeated rows stay, each with the same result; a null doc_id counts only where nothing else is reachable. Other
     columns are ignored, and an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sc = docs.sparkSession.sparkContext
     known = sc.broadcast(repeated_shingles(docs, k, filter_bytes, listed))

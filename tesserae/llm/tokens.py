@@ -9,19 +9,23 @@ of documents as uint64. Ids are little-endian uint16 where the vocabulary fits,
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.files import locate, read_whole, write_whole
-from tesserae.session import cut, new_path
+from tesserae.llm.kernels import chunks
+from tesserae.session import bound_batches, cut, new_path
 
 MAGIC = b"TESSTOK1"
 HEAD = len(MAGIC) + 32 + 1
@@ -31,17 +35,29 @@ INDEX = (("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("bytes", "<u4"),
 #: Unicode white space. Byte-level BPE starts a new word at each run of it, so what lies between two starts is encoded alone.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-CACHE_UNITS, CACHE_CHARS = 300_000, 8_000_000
+CACHE_UNITS, CACHE_CHARS = 400_000, 8_000_000
+
+
+def byte_letters() -> list[str]:
+    """The letter by which byte-level BPE writes each byte: printable ones as they are, the others from U+0100 on, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
 
 
 class Encoder(dict):
-    """Byte-level BPE of whole texts by the tokenizers library; each different unit is encoded once while it is remembered."""
+    """Byte-level BPE of whole texts by the tokenizers library; each different unit is encoded once while it is remembered.
+
+    A unit of letters after one space at most is one word to the library's pre-tokenizer, so it goes straight to the library's
+    model; all others go through the whole library.
+    """
 
     def __init__(self, model: bytes):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(model)
         self.tokenizer.encode_special_tokens = True
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
         self.forget()
 
     def forget(self) -> None:
@@ -55,39 +71,45 @@ class Encoder(dict):
         self.chars += len(unit)
         return at
 
+    def learn(self) -> None:
+        """Encode the pending units."""
+        tokenize, new, rest = self.tokenizer.model.tokenize, [], []
+        for i, unit in enumerate(self.pending):
+            if (unit[1:] if unit[0] == " " else unit).isalpha():
+                new.append([t.id for t in tokenize(unit.encode().decode("latin-1").translate(self.letters))])
+            else:
+                new.append(None)
+                rest.append(i)
+        if rest:
+            block = 500
+            for at in range(0, len(rest), block):
+                for i, e in zip(rest[at : at + block], self.tokenizer.encode_batch([self.pending[i] for i in rest[at : at + block]], add_special_tokens=False), strict=True):
+                    new[i] = e.ids
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(new), np.uint32, int(sizes.sum()))])
+        self.pending = []
+
     def encode(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds by text)."""
         if len(self) > CACHE_UNITS or self.chars > CACHE_CHARS:
             self.forget()
-        units = [UNIT.findall(t) for t in texts]
-        at = [np.fromiter(map(self.__getitem__, u), np.int64, len(u)) for u in units]
+        at = []
+        for text in texts:
+            found = UNIT.findall(text)
+            at.append(np.fromiter(map(self.__getitem__, found), np.int64, len(found)))
         if self.pending:
-            new = [e.ids for e in self.tokenizer.encode_batch(self.pending, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, new), np.int64, len(new))
-            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.pool = np.concatenate([self.pool, np.fromiter((x for ids in new for x in ids), np.uint32, int(sizes.sum()))])
-            self.pending = []
+            self.learn()
         starts, sizes, pool = self.starts, self.sizes, self.pool
         if end is not None:  # one more unit, of the end id alone
             starts, sizes, pool = np.append(starts, len(pool)), np.append(sizes, 1), np.append(pool, np.uint32(end))
             at = [np.append(a, len(starts) - 1) for a in at]
-        bounds = np.concatenate([[0], np.cumsum([int(sizes[a].sum()) for a in at])]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, np.int64), *at])
         n = sizes[flat]
-        return pool[np.repeat(starts[flat] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], bounds
-
-
-def runs(texts: list[str], limit: int = 1 << 20):
-    """(first, last + 1) of runs of texts of about `limit` characters."""
-    a, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= limit:
-            yield a, i + 1
-            a, held = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+        total = np.concatenate([[0], np.cumsum(n)])
+        bounds = total[np.concatenate([[0], np.cumsum([len(a) for a in at])]).astype(np.int64)]
+        return pool[np.repeat(starts[flat] - total[:-1], n) + np.arange(int(total[-1]))], bounds
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
@@ -108,7 +130,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
     A null text counts as empty and has the end id alone. Repeated rows are written as often as they occur; a null doc_id stands
     first. An empty table gives a folder with the dictionary and no shard. Other columns are ignored.
     """
-    spark = docs.sparkSession
+    spark = bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     with open(tokenizer_path, "rb") as f:
         raw = f.read()
@@ -116,18 +138,20 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
     own = Encoder(raw)
     width = 2 if own.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
     kind = f"<u{width}"
-    sample = docs.select("doc_id", F.substring("text", 1, 2 * SAMPLE_IDS).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCUMENTS).collect()
+    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
+    sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", F.substring("text", 1, 2 * SAMPLE_IDS).alias("text")).orderBy("doc_id", "text").limit(SAMPLE_DOCUMENTS).collect()
     trained = train_dictionary([own.encode([r.text], end_id)[0][:SAMPLE_IDS].astype(kind).tobytes() for r in sample])
     folder = new_path(spark, "tokens")
     write_whole(f"{folder}/dictionary", trained)
     shared = spark.sparkContext.broadcast(trained)
 
     def encode(batches):
-        encoder, packer = Encoder(model.value), zstandard.ZstdCompressor(level=3, **codec(shared.value))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        encoder, packer = Encoder(model.value), zstandard.ZstdCompressor(level=1, **codec(shared.value))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in runs(texts):
-                ids, bounds = encoder.encode(texts[a:b], end_id)
+            sizes = pc.binary_length(batch.column("text")).to_numpy()
+            for a, b in chunks(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])):
+                ids, bounds = encoder.encode(batch.column("text").slice(a, b - a).to_pylist(), end_id)
                 ids = ids.astype(kind)
                 frames = [packer.compress(ids[x:y].tobytes()) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(bounds), pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "n", "frame"])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.counting import by_region, emit_counts, region_bits
 from tesserae.llm.kernels import BASE_INVERSE, chunks, lower_ascii, mix, pack_counts, powers, prefix_hashes, span_hashes, unpack_counts, utf8, word_bounds
-from tesserae.session import cut, small_side
+from tesserae.session import bound_batches, cut, small_side
 
 UNIT_BYTES = (4, 5, 6)
 PRIOR, LEAST_Z, DRIFT, SIGNIFICANT = 0.0125, 5.0, 1.0, 0.05
@@ -207,6 +207,7 @@ def score_texts(docs: DataFrame, labels: DataFrame, is_held_out, listed: int = L
     A null, empty or wordless text is scored as one word without evidence. Repeated rows get equal results; with labels of one
     kind only, or none, all documents get the same low score. Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(is_held_out, F.lit(False)).alias("held_out"))
     marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     learnt = docs.where(~F.col("held_out")).join(small_side(marks, 16), "doc_id").select("doc_id", "text", "toxic")
