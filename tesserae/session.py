@@ -35,6 +35,13 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Lower the rows of an Arrow batch to `rows`, where the session leaves them at Spark's 10,000: texts are long rows."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared root."""
     return f"{shared_root(spark)}/tesserae/{name}-{uuid.uuid4().hex}"
