@@ -9,8 +9,8 @@ The probability is that of a Dirichlet prior: P(w | v) = (c(vw) + kappa * P(w))
 P(w) = (c(w) + 1) / (N + V + 1). kappa maximises the likelihood of a bounded sample of training documents, each scored by the
 counts without those that it brought itself.
 
-The base score needs every word's exact count. The most frequent words (`listed` at most) are broadcast; all others go as
-(row, word) through a join with the table of counts. A listed word is never in that join, so no key of it is hot.
+The base score needs every word's exact count. The most frequent words (a LISTED_SHARE of the distinct ones, `listed` at most)
+are broadcast; all others go as (row, word) through a join with the table of counts. A listed word is never in that join, so no key of it is hot.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from tesserae.session import bound_batches, cut
 
 STEP = 1.5
 PER_EVENT, PROBES = 10.0, 4
-FILTER_BYTES, LISTED = 64 << 20, 1 << 21
+FILTER_BYTES, LISTED, LISTED_SHARE = 64 << 20, 1 << 21, 0.25
 #: Pairs seen less often than this say no more than the words alone.
 LEAST_PAIR = 2
 PAIR_MASK = 0xFFFFFFFFFFFF0000
@@ -132,7 +132,7 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, listed: int = LISTE
             keys.append(k), levels.append(quantised(c)), kinds.append(kind)
             if kind == WORDS:
                 least = 1
-                while int((c >= least).sum()) > most_listed:
+                while int((c >= least).sum()) > min(most_listed, int(LISTED_SHARE * len(c))):
                     least += max(1, least // 8)
                 top_keys, top_counts = k[c >= least], c[c >= least]
         first = {WORDS: 1, PAIRS: int(quantised(np.array([LEAST_PAIR]))[0])}
@@ -152,6 +152,7 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, listed: int = LISTE
         sizes[r.region] = len(r.filter) // 8
     joined = lambda name: np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[name], np.uint64) for r in rows)])
     model = {"bits": bits, "words": sizes, "start": np.cumsum(sizes) - sizes, "filter": joined("filter"), "keys": joined("keys"), "counts": joined("counts"), "n": int(n), "v": int(v), "first": {WORDS: 1, PAIRS: int(quantised(np.array([LEAST_PAIR]))[0])}}
+    del rows
     sample = docs.select(F.substring("text", 1, KAPPA_CHARS).alias("text")).orderBy(F.xxhash64("text")).limit(KAPPA_DOCUMENTS).toArrow()
     raw, offsets = utf8(sample.column("text"))
     t, doc = tokens(raw, offsets)
