@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tesserae.llm.urls import LISTED_LABEL, RULES
+
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -18,3 +20,20 @@ e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
 m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)"""
+
+
+def url_filter() -> str:
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+    canonical = """regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN query = '' THEN '' ELSE '?' || query END""".replace("\\\\", "\\")
+    return rf"""
+WITH x AS (SELECT page_id, url, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, {LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+  array_to_string(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'), lambda a: a <> '' AND NOT regexp_matches(a, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)')), '&') AS query FROM x),
+u AS (SELECT *, {canonical} AS canon FROM p),
+l AS (SELECT DISTINCT canon FROM u WHERE list_contains(string_split(host, '.'), '{LISTED_LABEL}')),
+r(rhost, rpath, rverdict) AS (VALUES {rules}),
+m AS (SELECT u.page_id, u.host, u.path, u.canon, r.rhost || r.rpath AS rule, r.rverdict,
+  row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.rhost || r.rpath) DESC, length(r.rhost) DESC, r.rhost || r.rpath DESC) AS k
+  FROM u LEFT JOIN r ON (u.host = r.rhost OR ends_with(u.host, '.' || r.rhost)) AND starts_with(u.path, r.rpath))
+SELECT m.page_id, m.host, m.path, m.rule, coalesce(m.rverdict, CASE WHEN l.canon IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM m LEFT JOIN l ON l.canon = m.canon WHERE m.k = 1"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import fingerprint, lm, oracle, secrets, toxicity
+from tesserae.llm import fingerprint, lm, oracle, secrets, toxicity, urls
 from tesserae.llm.near import jaccard_components
 from tesserae.llm.tokens import read_token_files, write_token_files
 
@@ -59,6 +59,11 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return urls.production(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_lm_scores": op3_lm_scores,
@@ -66,8 +71,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_fingerprints": op6_fingerprints,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_url_filter": op9_url_filter,
 }
 
 ORACLE: dict[str, str] = {
     "op8_ngram_jaccard_join": oracle.jaccard_components(4, 85),
+    "op9_url_filter": oracle.url_filter(),
 }
