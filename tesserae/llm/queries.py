@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import fingerprint, lm, oracle, secrets, toxicity, urls
+from tesserae.llm import fingerprint, lm, oracle, quality, secrets, toxicity, urls
 from tesserae.llm.near import jaccard_components
 from tesserae.llm.tokens import read_token_files, write_token_files
 
@@ -54,6 +54,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edits(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality verdict on every document; trusted are those that labels call good."""
+    rows = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), quality.trusted_ids(table(spark, sf_dir, "labels")))
+    return rows.drop("text")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_secret_scan": op5_secret_scan,
     "op6_fingerprints": op6_fingerprints,
+    "op7_quality_rules": op7_quality_rules,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_url_filter": op9_url_filter,
 }
