@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import fingerprint, lm, oracle, quality, secrets, toxicity, urls
+from tesserae.llm import fingerprint, lm, mixing, oracle, pieces, quality, secrets, toxicity, urls
 from tesserae.llm.near import jaccard_components
 from tesserae.llm.tokens import read_token_files, write_token_files
 
@@ -29,6 +29,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, shards)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with a SentencePiece model and decoded again."""
+    return pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"), with_ids=False)
+
+
 def fold(n: int):
     """crc32(doc_id as text) mod n; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
@@ -70,8 +75,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.production(table(spark, sf_dir, "pages"))
 
 
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all words, mixed by the production weights over domain, language and source."""
+    return mixing.production(table(spark, sf_dir, "documents")).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_lm_scores": op3_lm_scores,
     "op4_toxicity": op4_toxicity,
     "op5_secret_scan": op5_secret_scan,
@@ -79,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_url_filter": op9_url_filter,
+    "op10_source_mix": op10_source_mix,
 }
 
 ORACLE: dict[str, str] = {

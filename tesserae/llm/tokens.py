@@ -13,7 +13,6 @@ import os
 import re
 import uuid
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.files import locate, read_whole, write_whole
 from tesserae.llm.kernels import chunks
+from tesserae.llm.units import Units
 from tesserae.session import bound_batches, cut, new_path
 
 MAGIC = b"TESSTOK1"
@@ -35,7 +35,6 @@ INDEX = (("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("bytes", "<u4"),
 #: Unicode white space. Byte-level BPE starts a new word at each run of it, so what lies between two starts is encoded alone.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-CACHE_UNITS, CACHE_CHARS = 400_000, 8_000_000
 
 
 def byte_letters() -> list[str]:
@@ -45,71 +44,36 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
 
 
-class Encoder(dict):
-    """Byte-level BPE of whole texts by the tokenizers library; each different unit is encoded once while it is remembered.
+class Encoder(Units):
+    """Byte-level BPE of whole texts by the tokenizers library.
 
     A unit of letters after one space at most is one word to the library's pre-tokenizer, so it goes straight to the library's
     model; all others go through the whole library.
     """
 
+    pattern = UNIT
+
     def __init__(self, model: bytes):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_buffer(model)
         self.tokenizer.encode_special_tokens = True
         self.letters = str.maketrans(dict(enumerate(byte_letters())))
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.pending, self.chars = [], 0
-        self.pool, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def __missing__(self, unit: str) -> int:
-        self[unit] = at = len(self)
-        self.pending.append(unit)
-        self.chars += len(unit)
-        return at
 
-    def learn(self) -> None:
-        """Encode the pending units."""
+    def learn(self, units: list[str]) -> list:
         tokenize, new, rest = self.tokenizer.model.tokenize, [], []
-        for i, unit in enumerate(self.pending):
+        for i, unit in enumerate(units):
             if (unit[1:] if unit[0] == " " else unit).isalpha():
                 new.append([t.id for t in tokenize(unit.encode().decode("latin-1").translate(self.letters))])
             else:
                 new.append(None)
                 rest.append(i)
-        if rest:
-            block = 500
-            for at in range(0, len(rest), block):
-                for i, e in zip(rest[at : at + block], self.tokenizer.encode_batch([self.pending[i] for i in rest[at : at + block]], add_special_tokens=False), strict=True):
-                    new[i] = e.ids
-        sizes = np.fromiter(map(len, new), np.int64, len(new))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(new), np.uint32, int(sizes.sum()))])
-        self.pending = []
-
-    def encode(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, bounds by text)."""
-        if len(self) > CACHE_UNITS or self.chars > CACHE_CHARS:
-            self.forget()
-        at = []
-        for text in texts:
-            found = UNIT.findall(text)
-            at.append(np.fromiter(map(self.__getitem__, found), np.int64, len(found)))
-        if self.pending:
-            self.learn()
-        starts, sizes, pool = self.starts, self.sizes, self.pool
-        if end is not None:  # one more unit, of the end id alone
-            starts, sizes, pool = np.append(starts, len(pool)), np.append(sizes, 1), np.append(pool, np.uint32(end))
-            at = [np.append(a, len(starts) - 1) for a in at]
-        flat = np.concatenate([np.zeros(0, np.int64), *at])
-        n = sizes[flat]
-        total = np.concatenate([[0], np.cumsum(n)])
-        bounds = total[np.concatenate([[0], np.cumsum([len(a) for a in at])]).astype(np.int64)]
-        return pool[np.repeat(starts[flat] - total[:-1], n) + np.arange(int(total[-1]))], bounds
+        for at in range(0, len(rest), 500):
+            block = rest[at : at + 500]
+            for i, e in zip(block, self.tokenizer.encode_batch([units[i] for i in block], add_special_tokens=False), strict=True):
+                new[i] = e.ids
+        return new
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
