@@ -162,7 +162,10 @@ def train(docs: DataFrame, listed: int = LISTED, calibration_rows: int = CALIBRA
     model = {"keys": join("keys", np.uint64), "odds": join("odds", np.float64), "z": join("z", np.float64), "lambda": 1.0, "k": 0.1, "weights": np.array([0.0, 0.0, 0.0, -2.0])}
     if not n0 or not n1:
         return model
-    sample = docs.select("text", "toxic").orderBy(F.xxhash64("text", "toxic")).limit(calibration_rows) if docs.count() > calibration_rows else docs.select("text", "toxic")
+    # The sample is all rows up to the hash that is the last of the least ones: only hashes are sorted, not texts.
+    hashed = docs.select("text", "toxic", F.xxhash64("doc_id", "text").alias("h"))
+    least = hashed.select("h").orderBy("h").limit(calibration_rows).agg(F.max("h")).first()[0]
+    sample = hashed.where(F.col("h") <= least).select("text", "toxic")
     shared = spark.sparkContext.broadcast(model)
 
     def top(batches):
