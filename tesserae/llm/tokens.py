@@ -44,11 +44,16 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
 
 
+#: ASCII marks: neither letters, digits nor white space.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Encoder(Units):
     """Byte-level BPE of whole texts by the tokenizers library.
 
-    A unit of letters after one space at most is one word to the library's pre-tokenizer, so it goes straight to the library's
-    model; all others go through the whole library.
+    Most units are letters, after one space or line end at most and before marks of punctuation or none. The library's
+    pre-tokenizer cuts those into the line end, the letters with their space, and the marks, so the letters go straight to the
+    library's model and the rest is looked up; all other units go through the whole library.
     """
 
     pattern = UNIT
@@ -59,13 +64,20 @@ class Encoder(Units):
         super().__init__()
         self.tokenizer = Tokenizer.from_buffer(model)
         self.tokenizer.encode_special_tokens = True
+        self.known: dict[str, list[int]] = {}
         self.letters = str.maketrans(dict(enumerate(byte_letters())))
 
     def learn(self, units: list[str]) -> list:
-        tokenize, new, rest = self.tokenizer.model.tokenize, [], []
+        tokenize, letters, new, rest = self.tokenizer.model.tokenize, self.letters, [], []
         for i, unit in enumerate(units):
-            if (unit[1:] if unit[0] == " " else unit).isalpha():
-                new.append([t.id for t in tokenize(unit.encode().decode("latin-1").translate(self.letters))])
+            core = unit.rstrip(MARKS)
+            head = core[:1]
+            if core.isalpha() or (head == " " or head == "\n") and core[1:].isalpha():
+                ids = []
+                if head == "\n":
+                    ids, core = [*self.short("\n")], core[1:]
+                ids += [t.id for t in tokenize(core.encode().decode("latin-1").translate(letters))]
+                new.append(ids + self.short(unit[-(len(unit) - len(unit.rstrip(MARKS))) :]) if unit[-1] in MARKS else ids)
             else:
                 new.append(None)
                 rest.append(i)
@@ -75,6 +87,14 @@ class Encoder(Units):
                 new[i] = e.ids
         return new
 
+    def short(self, text: str) -> list[int]:
+        """The ids of a line end or a run of marks, remembered."""
+        if text not in self.known:
+            if len(self.known) > 10_000:
+                self.known.clear()
+            self.known[text] = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.known[text]
+
 
 def train_dictionary(samples: list[bytes]) -> bytes:
     """A dictionary of DICTIONARY_BYTES at most; too few samples to train on are taken as its content."""
@@ -84,8 +104,16 @@ def train_dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
+LEVEL = 1
+
+
 def codec(dictionary: bytes) -> dict:
-    return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+    """Arguments of a compressor or decompressor; the dictionary is digested once for all frames."""
+    if not dictionary:
+        return {}
+    shared = zstandard.ZstdCompressionDict(dictionary)
+    shared.precompute_compress(level=LEVEL)
+    return {"dict_data": shared}
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, shards: int | None = None) -> tuple[str, list[tuple[str, int, int, int]]]:
@@ -111,7 +139,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
 
     def encode(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder, packer = Encoder(model.value), zstandard.ZstdCompressor(level=1, **codec(shared.value))
+        encoder, packer = Encoder(model.value), zstandard.ZstdCompressor(level=LEVEL, **codec(shared.value))
         for batch in batches:
             sizes = pc.binary_length(batch.column("text")).to_numpy()
             for a, b in chunks(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])):
