@@ -80,6 +80,13 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.production(table(spark, sf_dir, "documents")).drop("text")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """corpus_pipeline.run."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_sentencepiece": op2_sentencepiece,
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_url_filter": op9_url_filter,
     "op10_source_mix": op10_source_mix,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {
