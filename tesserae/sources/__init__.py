@@ -1 +1 @@
-
+"""Readers, parsers and the versioned store."""

@@ -1 +1 @@
-
+"""Incremental refresh from a stream of pages."""
