@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,5 +50,9 @@ def refresh_vectors(cache: DataFrame, chunks: DataFrame, model: str, encode: Cal
     """
     wanted = chunks.select(F.lit(model).alias("model"), F.sha2(F.col(text), 256).alias("text_hash"), F.col(text).alias("_t")).dropDuplicates(["text_hash"])
     missing = wanted.join(cache.select("model", "text_hash"), ["model", "text_hash"], "left_anti")
-    udf = F.pandas_udf(encode, "array<float>")
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from encode(batches)
+
+    udf = F.pandas_udf(run, "array<float>")
     return cache.unionByName(missing.select("model", "text_hash", udf("_t").alias("vector")))
