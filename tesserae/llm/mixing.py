@@ -83,7 +83,8 @@ def mix(docs: DataFrame, levels: list[Column], tokens: Column, weights: dict[tup
     """
     names = [f"_l{i}" for i in range(len(levels))]
     docs = docs.drop("epoch", "n_tokens", "budget")
-    rows = docs.withColumns({n: c.cast("string") for n, c in zip(names, levels, strict=True)} | {"n_tokens": F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0))})
+    tokens = F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0))
+    rows = docs.select(F.struct("*").alias("_doc"), *(c.cast("string").alias(n) for n, c in zip(names, levels, strict=True)), tokens.alias("n_tokens"))
     leaves = rows.groupBy(*names).agg(F.sum("n_tokens").alias("n")).limit(LEAVES + 1).collect()
     if len(leaves) > LEAVES:
         raise ValueError(f"the tree has more than {LEAVES} leaves")
@@ -95,13 +96,13 @@ def mix(docs: DataFrame, levels: list[Column], tokens: Column, weights: dict[tup
     plan = [(*k, e, given[k], given[k] - e * n) for k, n in single.items() for e in range(epochs) if n and given[k] > e * n]
     schema = ", ".join(f"{n} string" for n in names) + ", epoch int, budget long, room long"
     plan = F.broadcast(spark.createDataFrame(plan, schema))  # LEAVES * epochs rows at most
-    text = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
+    text = F.xxhash64("_doc.text") if "text" in docs.columns else F.lit(0).cast("long")
     same = [F.col(f"docs.{n}").eqNullSafe(F.col(f"plan.{n}")) for n in names]
     on = same[0]
     for c in same[1:]:
         on = on & c
     rows = rows.alias("docs").join(plan.alias("plan"), on).select("docs.*", "epoch", "budget", "room")
-    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "epoch", "doc_id", text)).withColumn("_slot", F.shiftrightunsigned("_h", 64 - SLOT_BITS).cast("int"))
+    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "epoch", "_doc.doc_id", text)).withColumn("_slot", F.shiftrightunsigned("_h", 64 - SLOT_BITS).cast("int"))
     key = [*names, "epoch"]
     by_slot = cut(rows.groupBy(*key, "room", "_slot").agg(F.sum("n_tokens").alias("n")), "slots")
     # A slot's sum before it, in two levels as well: blocks of slots first, then slots within a block.
@@ -117,9 +118,9 @@ def mix(docs: DataFrame, levels: list[Column], tokens: Column, weights: dict[tup
     rows = rows.alias("a").join(last.alias("b"), _all([F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in key]), "left").select("a.*", "b.end")
     whole = rows.where(F.col("end").isNull() | (F.col("_slot") < F.col("end._slot")))
     edge = rows.where(F.col("_slot") == F.col("end._slot"))
-    order = Window.partitionBy(*key).orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*key).orderBy("_h", "_doc.doc_id").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("_sum", F.col("end._before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).where(F.col("_sum") < F.col("room"))
-    return whole.select(*docs.columns, "epoch", "n_tokens", "budget").unionByName(edge.select(*docs.columns, "epoch", "n_tokens", "budget"))
+    return whole.select("_doc.*", "epoch", "n_tokens", "budget").unionByName(edge.select("_doc.*", "epoch", "n_tokens", "budget"))
 
 
 def _all(conditions: list[Column]) -> Column:

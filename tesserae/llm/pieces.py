@@ -97,7 +97,7 @@ def build(pieces: list[tuple[str, float, int]], kind: int, prefix: bool, unknown
     return {
         "kind": kind, "prefix": prefix, "n": n, "unknown": unknown, "longest": max(map(len, ids)), "scores": scores, "ids": ids,
         "keys": keys[order], "seen": np.bincount((keys >> np.uint64(64 - SEEN_BITS)).astype(np.int64), minlength=1 << SEEN_BITS) > 0, "places": np.array(list(ids.values()), np.int32)[order],
-        "score": np.array([s for _, s, _ in pieces] + [min(scores.values()) - 10.0]), "left": left, "right": right, "rank": rank, "born": born,
+        "score": np.array([s for _, s, _ in pieces] + [min(scores.values()) - 10.0], np.float32), "left": left, "right": right, "rank": rank, "born": born,
         "bytes": np.array([as_bytes.get(i, -1) for i in range(256)], np.int64) if len(as_bytes) == 256 else None,
         "shown": np.frombuffer(b"".join(shown), np.uint8), "shown_at": np.concatenate([[0], np.cumsum([len(x) for x in shown])]),
         "names": [p for p, _, _ in pieces] + [""],
@@ -189,7 +189,7 @@ class Pieces(Units):
         m, (words, n) = self.m, (len(at), at.shape[1] - 1)
         found = self.lookup(at, prefix, inverse)
         longest, every = len(found) - 1, np.arange(words)
-        best = np.full((n + 1, words), -np.inf)
+        best = np.full((n + 1, words), -np.inf, np.float32)
         best[0] = 0
         last, back = np.full((n + 1, words), -1, np.int64), np.zeros((n + 1, words), np.int64)
         for i in range(1, n + 1):
@@ -205,9 +205,9 @@ class Pieces(Units):
                 value = np.where(ok, value, -np.inf)
             else:
                 value = value + m["score"][p]
-            values = np.full(piece.shape, -np.inf)
+            values = np.full(piece.shape, -np.inf, np.float32)
             values[s, w] = value
-            top = values.argmax(axis=0)
+            top = size - 1 - values[::-1].argmax(axis=0)  # of equal sums the longest last piece, as the library has it
             best[i], last[i], back[i] = values[top, every], piece[top, every], top + 1
         steps, where = [], np.full(words, n)
         while (where > 0).any():
@@ -353,7 +353,7 @@ def decode_ids(rows: DataFrame, model_path: str) -> DataFrame:
     spark = bound_batches(rows.sparkSession)
     shared = spark.sparkContext.broadcast(load(model_path))
     rows = rows.drop("text")
-    schema = rows.select("*", F.lit("").cast("string").alias("text")).schema
+    schema = rows.select("*", F.lit(None).cast("string").alias("text")).schema
 
     def run(batches):
         for batch in batches:

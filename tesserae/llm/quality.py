@@ -2,7 +2,7 @@
 
 The n-grams of a text are its words, its pairs of neighbouring words and the last two characters of each word, each hashed to
 one of BUCKETS. One multinomial counts them over all documents, one over the trusted ones, smoothed towards the first by
-PRIOR times its own size. A document's score is the mean log-ratio of its n-grams; it is kept if its score is LEAST or more
+PRIOR times its own size and LEAST_COUNTS a bucket, so that little trusted text says little. A document's score is the mean log-ratio of its n-grams; it is kept if its score is LEAST or more
 and no fixed rule rejects it. The ratios are one array of fixed size, an uncorrelated scalar subquery of the scoring plan, so
 documents are scored where they are read, without a shuffle.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.fingerprint import let
 from tesserae.session import cut, small_side
 
-BUCKETS, PRIOR, LEAST = 1 << 14, 0.05, -0.25
+BUCKETS, PRIOR, LEAST_COUNTS, LEAST = 1 << 14, 0.05, 2, -0.25
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: Words a text may have for the packed search for repeated windows; longer ones take the sort of structs.
@@ -92,7 +92,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     counts = cut(counts.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("own")), "ngrams")  # BUCKETS rows at most
     total = counts.agg(F.sum("raw").alias("all_raw"), F.sum("own").alias("all_own")).first()
     n, t = float(total.all_raw or 1), float(total.all_own or 0)
-    prior = PRIOR * t if t else 1.0
+    prior = PRIOR * t + LEAST_COUNTS * BUCKETS
     share = F.greatest(F.coalesce("raw", F.lit(0)), F.lit(1)) / F.lit(n)
     ratio = F.log((F.coalesce("own", F.lit(0)) + F.lit(prior) * share) / (F.lit(t + prior) * share))
     dense = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(counts), "bucket", "left")
