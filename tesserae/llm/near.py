@@ -11,8 +11,9 @@
    shingles in each of SIGNATURE bins. Differing bins can't outnumber differing shingles, so the join drops only pairs that
    can't link.
 5. First every group is verified against one pivot of each shingle, every member against its group's pivot, so that a family
-   of near copies becomes one component at linear cost. Then what still shares a shingle across components is expanded to
-   member pairs, each at the first shingle where it meets, and verified, every pair of them. No link is lost; links inside a component need not be listed.
+   of near copies becomes one component at linear cost; then every member against NEIGHBOURS of those that it meets. What
+   still shares a shingle across components is expanded to member pairs, each at the first shingle where it meets, and all of
+   them are verified. No link is lost; links inside a component need not be listed.
 
 Nodes are 64-bit sums over the set: at 10**9 different sets, two of them agree by chance with odds of 3 %.
 """
@@ -23,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.counting import bit_places, by_region, emit_counts, filter_of, filter_words, region_bits
@@ -35,6 +36,8 @@ LISTED = 1 << 20
 SIGNATURE = 1024
 #: Shingles before one in its prefix that are looked at to see whether a pair has met before.
 EARLIER = 64
+#: Members that each is compared with at a shingle before all pairs across components are, and the members in one such part.
+NEIGHBOURS, PART = 8, 4096
 KEY_MASK = 0xFFFFFFFFFF000000
 
 
@@ -192,6 +195,38 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
+def _apart(meets: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(t, m, node, comp) of all members that meet at a shingle (or in a group) which not only one component has."""
+    met = meets.join(members.select("node", "g").join(labels, "node"), "g").select("t", "m", "node", "comp")
+    apart = met.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t")
+    return cut(met.join(apart, "t", "left_semi"), "apart").join(members.drop("g"), "node")
+
+
+def _neighbours(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each member and the NEIGHBOURS behind it, in an order of its own for each shingle.
+
+    A family whose members link with a few others each, but not with one pivot, grows together by these at linear cost. A shingle
+    that many have is cut into parts of about PART members.
+    """
+    salt = F.pmod(F.xxhash64("node"), (F.lit(1) + F.floor(F.col("m") / PART)).cast("long")).alias("salt")
+    me = F.struct("node", "n", "meets", *(f"s{i}" for i in range(SIGNATURE // 64)))
+    order = Window.partitionBy("t", "salt").orderBy(F.xxhash64("t", "node"), "node")
+    rows = met.select("t", "comp", "node", "n", "meets", *(f"s{i}" for i in range(SIGNATURE // 64)), salt)
+    rows = rows.select("comp", me.alias("a"), *(F.lead(F.struct("comp", me.alias("b")), k).over(order).alias(f"next{k}") for k in range(1, NEIGHBOURS + 1)))
+    behind = F.array(*(f"next{k}" for k in range(1, NEIGHBOURS + 1)))
+    rows = rows.select("comp", "a", F.explode(F.filter(behind, lambda x: x.isNotNull())).alias("x")).where(F.col("comp") != F.col("x.comp"))
+    sides = [F.col(f"{f}.{c}").alias(name) for f, x in (("a", "a"), ("x.b", "b")) for c, name in (("node", x), ("n", f"n{x}"), ("meets", f"m{x}"), *((f"s{i}", f"s{x}{i}") for i in range(SIGNATURE // 64)))]
+    return rows.select(*sides).where(_may_link(percent)).select("a", "b")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(node, comp) after more links(a, b) between nodes."""
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+    between = links.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b")
+    to = components(labels.select(F.col("comp").alias("node")).distinct(), between).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return cut(labels.join(to, "comp").select("node", F.col("to").alias("comp")), "labels")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, filter_bytes: int = FILTER_BYTES, listed: int = LISTED) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text).
 
@@ -212,28 +247,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, filter_by
     groups = cut(members.groupBy("g").agg(F.min("node").alias("node"), F.count("*").alias("size")), "groups")
     postings = heads.select("g", "prefix").dropDuplicates(["g"]).select(F.explode("prefix").alias("t"), "g")
     postings = cut(postings, "postings")
-    stats = postings.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("t", "lo")
+    stats = postings.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("t", "lo", "m")
     shared = cut(postings.join(stats, "t"), "shared")
+    meets = shared.select("t", "g", "m").unionByName(groups.where("size > 1").select(F.col("g").alias("t"), "g", F.col("size").alias("m")))
 
     pivots = members.join(groups.select("g", "node"), ["g", "node"], "left_semi")
     point = lambda name: pivots.select(F.col("g").alias(f"{name}g"), *_side(name))
     across = shared.where("lo != g").select(F.col("lo").alias("ag"), F.col("g").alias("bg")).distinct().join(point("a"), "ag").join(point("b"), "bg").where(_may_link(percent)).select("a", "b")
     inside = members.select(F.col("g").alias("ag"), *_side("b")).join(point("a"), "ag").where((F.col("a") != F.col("b")) & _may_link(percent)).select("a", "b")
-    first = components(members, _verified(across.unionByName(inside), heads, percent))
-
-    located = members.join(first, "node")
-    met = shared.select("t", "g").unionByName(groups.where("size > 1").select(F.col("g").alias("t"), "g"))
-    met = met.join(located.select("node", "g", "comp"), "g").select("t", "node", "comp")
-    apart = met.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t")
-    tokens = met.join(apart, "t", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("t")).alias("ts"))  # its prefix at most
+    labels = components(members, _verified(across.unionByName(inside), heads, percent))
+    labels = _merged(labels, _verified(_neighbours(_apart(meets, members, labels), percent), heads, percent))
+    met = _apart(meets, members, labels)
+    tokens = met.groupBy("node").agg(F.array_sort(F.collect_set("t")).alias("ts"))  # its prefix at most
     earlier = F.slice("ts", F.greatest(F.col("i") - EARLIER + 1, F.lit(1)), F.least(F.col("i"), F.lit(EARLIER))).alias("earlier")
-    met = cut(tokens.select("node", "ts", F.posexplode("ts").alias("i", "t")).select("node", "t", earlier).join(located.drop("g"), "node"), "met")
+    met = tokens.select("node", "ts", F.posexplode("ts").alias("i", "t")).select("node", "t", earlier).join(members.drop("g").join(labels, "node"), "node")
+    met = cut(met, "met")
     left, right = (met.select("t", F.col("comp").alias(f"c{x}"), F.col("earlier").alias(f"e{x}"), *_side(x)) for x in "ab")
     rest = left.join(right, "t").where((F.col("ca") < F.col("cb")) & _may_link(percent) & ~F.arrays_overlap("ea", "eb")).select("a", "b")
-    late = _verified(rest, heads, percent)
-    named = late.join(first.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(first.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    last = components(first.select(F.col("comp").alias("node")).distinct(), named).withColumnRenamed("comp", "last").withColumnRenamed("node", "comp")
-    last = first.join(last, "comp").select("node", F.col("last").alias("comp"))
+    last = _merged(labels, _verified(rest, heads, percent))
 
     linked = rows.where("node is not null").select("doc_id", "n_shingles", "node")
     least = linked.groupBy("node").agg(F.min("doc_id").alias("least")).join(last, "node")
