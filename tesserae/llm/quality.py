@@ -112,8 +112,8 @@ def judged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     rows = docs.withColumn("_words", words(F.col("text"))).withColumn("_ratios", ratios.scalar())
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.get(F.col("_ratios"), x))
     found = let(F.col("_words"), lambda w: F.struct(*(c.alias(k) for k, c in measures(w, F.col("text")).items()), let(buckets(w), lambda b: total(b) / F.greatest(F.size(b), F.lit(1))).alias("score")))
-    rows = rows.select(*(F.col(c) for c in docs.columns), found.alias("_m"))
-    rows = rows.select(*(F.col(c) for c in docs.columns), "_m.*")
+    # Through a generator, so that a filter on a measure isn't pushed below and the measures are worked out once.
+    rows = rows.select(*(F.col(c) for c in docs.columns), F.inline(F.array(found)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= LEAST))
 
