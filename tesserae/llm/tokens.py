@@ -70,14 +70,15 @@ class Encoder(Units):
     def learn(self, units: list[str]) -> list:
         tokenize, letters, new, rest = self.tokenizer.model.tokenize, self.letters, [], []
         for i, unit in enumerate(units):
+            head = unit[0]
+            if unit.isalpha() or head == " " and unit[1:].isalpha():
+                new.append([t.id for t in tokenize(unit.encode().decode("latin-1").translate(letters))])
+                continue
             core = unit.rstrip(MARKS)
-            head = core[:1]
             if core.isalpha() or (head == " " or head == "\n") and core[1:].isalpha():
-                ids = []
-                if head == "\n":
-                    ids, core = [*self.short("\n")], core[1:]
-                ids += [t.id for t in tokenize(core.encode().decode("latin-1").translate(letters))]
-                new.append(ids + self.short(unit[-(len(unit) - len(unit.rstrip(MARKS))) :]) if unit[-1] in MARKS else ids)
+                ids = [] if head != "\n" else [*self.short("\n")]
+                ids += [t.id for t in tokenize((core[1:] if ids else core).encode().decode("latin-1").translate(letters))]
+                new.append(ids + self.short(unit[len(core) :]) if len(core) < len(unit) else ids)
             else:
                 new.append(None)
                 rest.append(i)

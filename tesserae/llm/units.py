@@ -8,7 +8,7 @@ from itertools import chain
 import numpy as np
 
 #: Units and their characters that are remembered at most; beyond, all are forgotten.
-CACHE_UNITS, CACHE_CHARS = 400_000, 8_000_000
+CACHE_UNITS, CACHE_CHARS = 600_000, 8_000_000
 
 
 class Units(dict):
