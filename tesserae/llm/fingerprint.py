@@ -1,6 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash over paragraphs, in DataFrame functions only.
 
-A paragraph is what stands between line ends, or between a space behind `.`, `!` or `?` and the next; empty ones don't count.
+A paragraph is a line, cut further behind each `.`, `!` or `?` with a space and behind every LONGEST words, so that short texts
+have several, too; spaces and line ends at the cuts don't count.
 Each paragraph is hashed to a vector of LANES bytes (a 64-bit hash for every eight lanes), and the vectors of a text are added
 lane by lane modulo 2**16, with the number of paragraphs modulo 2**32 beside them. So the fingerprint doesn't depend on the
 paragraphs' order, and paragraphs can be added or taken away (`combine`). Equal texts have equal fingerprints.
@@ -16,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LANES = 128
+LANES, LONGEST = 128, 8
 #: Two lanes a 64-bit word: 16 bits each with 16 bits of room, so that sums never run into the next lane.
 WORDS = LANES // 2
 LANE_MASK = 0x0000FFFF0000FFFF
@@ -28,14 +29,13 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def pieces(text: Column) -> Column:
-    """A text cut into paragraphs, empty ones included."""
-    return F.split(text, r"[ \n](?<=\n|[.!?] )")
-
-
 def paragraphs(text: Column) -> Column:
-    """The paragraphs of a text; a null or empty text has none."""
-    return F.filter(pieces(F.coalesce(text, F.lit(""))), lambda p: p != "")
+    """The paragraphs of a text; a null or empty text has none.
+
+    They are found from left to right and each begins where the last one ended, so those of a text's beginning, but for the last,
+    are those of the whole text.
+    """
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?:[^ \n]*[^ \n.!?] +){{0,{LONGEST - 1}}}[^ \n]+"), 0)
 
 
 def words_of(paragraph: Column) -> Column:
@@ -123,11 +123,15 @@ def edits(docs: DataFrame) -> DataFrame:
     rows, w = in_order(docs)
     n, cutoff = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     rows = rows.withColumn("next_text", F.lead("text").over(w))
-    rows = rows.select("doc_id", "extra", "part", "text", n.cast("long").alias("n_chars"), pieces(F.expr("left(text, length(text) - floor(length(text) / 4))")).alias("kept"), F.when(cutoff > 0, F.expr("right(text, cast(floor(length(text) / 4) as int))")).otherwise("").alias("old"), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), cutoff).alias("new"))
-    whole = F.filter(F.slice("kept", 1, F.size("kept") - 1), lambda p: p != "")
-    tail = lambda end: paragraphs(F.concat(F.element_at("kept", -1), F.col(end)))
-    sketches = let(sketch(whole), lambda s: F.struct(sketch(tail("old"), s).alias("own"), sketch(tail("new"), s).alias("edited")))
-    edited = F.concat(F.expr("left(text, length(text) - floor(length(text) / 4))"), F.col("new"))
+    rows = rows.select("doc_id", "extra", "part", "text", n.cast("long").alias("n_chars"), F.expr("left(text, length(text) - floor(length(text) / 4))").alias("kept"), F.when(cutoff > 0, F.expr("right(text, cast(floor(length(text) / 4) as int))")).otherwise("").alias("old"), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), cutoff).alias("new"))
+    # The last paragraph of what is kept goes on in either text; all before it belong to both.
+    def both(kept: Column) -> Column:
+        open_end = F.concat(F.coalesce(F.get(kept, F.size(kept) - 1), F.lit("")), F.regexp_extract("kept", r"[ \n]*$", 0))
+        tail = lambda end: paragraphs(F.concat(open_end, F.col(end)))
+        return let(sketch(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))), lambda s: F.struct(sketch(tail("old"), s).alias("own"), sketch(tail("new"), s).alias("edited")))
+
+    sketches = let(paragraphs(F.col("kept")), both)
+    edited = F.concat("kept", "new")
     rows = rows.select("doc_id", "extra", "part", "text", "n_chars", F.sha2(edited, 256).alias("edited_sha256"), sketches.alias("s"))
     rows = rows.withColumn("next", F.lead("s.own").over(w)).where(~F.col("extra"))
     near = let(F.struct(lanes_of(F.col("s.own")).alias("a"), lanes_of(F.col("s.edited")).alias("b"), lanes_of(F.col("next")).alias("c")), lambda x: F.struct(likeness(x["a"], x["b"]).alias("edited"), likeness(x["a"], x["c"]).alias("next")))
