@@ -242,7 +242,18 @@ def packed_pages(spark, d, settings=chunking.Settings()):
     return chunking.chunk_pages(rows, settings)
 
 
-@register("chk_packed_parts")
+PACKED = r"""WITH RECURSIVE b AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '^\s+', ''), chr(10)), lambda x: regexp_replace(x, '\s+$', '')), lambda x: x <> '') AS bl FROM documents),
+r(doc_id, i, cur, parts) AS (SELECT doc_id, 1, '', []::VARCHAR[] FROM b UNION ALL SELECT r.doc_id, i + 1,
+  CASE WHEN cur = '' OR (greatest(1, length(cur) // 4) >= 100 AND (length(cur) + 2 + length(bl[i])) // 4 > 600) THEN bl[i] ELSE cur || chr(10) || chr(10) || bl[i] END,
+  CASE WHEN cur <> '' AND greatest(1, length(cur) // 4) >= 100 AND (length(cur) + 2 + length(bl[i])) // 4 > 600 THEN list_append(parts, cur) ELSE parts END
+  FROM r JOIN b USING (doc_id) WHERE i <= len(bl)),
+e AS (SELECT r.doc_id, CASE WHEN len(parts) > 0 AND length(cur) // 4 < 100 THEN list_append(parts[:-2], parts[-1] || chr(10) || chr(10) || cur) ELSE list_append(parts, cur) END AS parts
+  FROM r JOIN b USING (doc_id) WHERE i = len(bl) + 1 AND cur <> ''),
+u AS (SELECT doc_id, unnest(parts) AS text, generate_subscripts(parts, 1) - 1 AS k FROM e)
+SELECT CAST(doc_id AS VARCHAR) AS url, CAST(k AS INTEGER) AS ord, CAST(k AS INTEGER) AS part, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens, sha256(text) AS content_hash FROM u"""
+
+
+@register("chk_packed_parts", PACKED)
 def chk_packed_parts(spark, d):
     """Documents as pages of paragraphs, in parts of 600 tokens."""
     return packed_pages(spark, d).select("url", "ord", "part", "tokens", "content_hash")
