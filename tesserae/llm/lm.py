@@ -146,13 +146,15 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, listed: int = LISTE
         return pa.table({"region": table.column("region").slice(0, 1), "filter": [out.tobytes()], "keys": [top_keys.tobytes()], "counts": [top_counts.tobytes()]})
 
     both = words.select("region", F.lit(WORDS).alias("kind"), "blob").unionByName(pairs.select("region", F.lit(PAIRS).alias("kind"), "blob"))
-    rows = sorted(both.groupBy("region").applyInArrow(build, "region int, filter binary, keys binary, counts binary").collect(), key=lambda r: r.region)  # bounded: see above
+    built = cut(both.groupBy("region").applyInArrow(build, "region int, filter binary, keys binary, counts binary"), "filter")
+    # Read one partition at a time: the driver holds the filter and the list once, and no more than a partition besides.
+    parts = {r.region: [np.frombuffer(x, np.uint64) for x in (r.filter, r["keys"], r["counts"])] for r in built.toLocalIterator()}
     sizes = np.zeros(1 << bits, np.int64)
-    for r in rows:
-        sizes[r.region] = len(r.filter) // 8
-    joined = lambda name: np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[name], np.uint64) for r in rows)])
-    model = {"bits": bits, "words": sizes, "start": np.cumsum(sizes) - sizes, "filter": joined("filter"), "keys": joined("keys"), "counts": joined("counts"), "n": int(n), "v": int(v), "first": {WORDS: 1, PAIRS: int(quantised(np.array([LEAST_PAIR]))[0])}}
-    del rows
+    for region, (own, _, _) in parts.items():
+        sizes[region] = len(own)
+    joined = lambda: np.concatenate([np.zeros(0, np.uint64), *(parts[r].pop(0) for r in sorted(parts))])  # noqa: E731  filters, then keys, then counts
+    model = {"bits": bits, "words": sizes, "start": np.cumsum(sizes) - sizes, "filter": joined(), "keys": joined(), "counts": joined(), "n": int(n), "v": int(v), "first": {WORDS: 1, PAIRS: int(quantised(np.array([LEAST_PAIR]))[0])}}
+    del parts
     sample = docs.select(F.substring("text", 1, KAPPA_CHARS).alias("text")).orderBy(F.xxhash64("text")).limit(KAPPA_DOCUMENTS).toArrow()
     raw, offsets = utf8(sample.column("text"))
     t, doc = tokens(raw, offsets)
