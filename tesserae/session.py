@@ -64,3 +64,9 @@ def small_side(df: DataFrame, row_bytes: int, limit_bytes: int = 32 << 20) -> Da
     Beyond the limit Spark plans a shuffled join, with AQE splitting skewed keys.
     """
     return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, if it would be read by fewer tasks than there are cores (a table in one small file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
