@@ -1,10 +1 @@
-"""Operators for training-data pipelines: output, encoding, scoring, scanning, joining and mixing.
-
-Functions of this subpackage that run in Python workers travel by value, so executors need not have it installed.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for training-data pipelines: output, encoding, scoring, scanning, joining and mixing."""

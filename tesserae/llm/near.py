@@ -37,7 +37,7 @@ SIGNATURE = 1024
 #: Shingles before one in its prefix that are looked at to see whether a pair has met before.
 EARLIER = 64
 #: Members that each is compared with at a shingle before all pairs across components are, and the members in one such part.
-NEIGHBOURS, PART = 8, 4096
+NEIGHBOURS, PART = 8, 1024
 KEY_MASK = 0xFFFFFFFFFF000000
 
 

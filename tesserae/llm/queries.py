@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from tesserae.llm import fingerprint, lm, mixing, oracle, pieces, quality, secrets, toxicity, urls
 from tesserae.llm.near import jaccard_components
 from tesserae.llm.tokens import read_token_files, write_token_files
+from tesserae.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def vocabulary(name: str) -> str:
