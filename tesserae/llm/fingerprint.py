@@ -96,17 +96,21 @@ def in_order(docs: DataFrame):
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts).alias("b")).first().b or []
     bounds = sorted(set(bounds))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
+    # Two steps of about the square root of the bounds each, not all of them for every row.
+    step = max(1, round(len(bounds) ** 0.5))
+    under = lambda xs: F.size(F.filter(xs, lambda b: b < F.col("doc_id")))
+    literal = lambda xs: F.array(*map(F.lit, xs)).cast("array<long>")
+    part = let(under(literal(bounds[step - 1 :: step])) * step, lambda i: i + under(F.slice(literal(bounds), i + 1, step))) if bounds else F.lit(0)
     dealt = docs.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part)).withColumn("extra", F.lit(False))
     first_ids = dealt.groupBy("part").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first"))
     first_ids = first_ids.orderBy("part").collect()  # one row a range
     if not first_ids:
         return dealt, Window.partitionBy("part").orderBy("doc_id")
     before = {r.part: first_ids[i - 1].part for i, r in enumerate(first_ids)}
-    own = lambda pairs: F.element_at(F.create_map(*(F.lit(x) for kv in pairs for x in kv)), F.col("part"))
-    is_head = F.coalesce("doc_id", F.lit(-(1 << 63))) == own([(r.part, r.first) for r in first_ids])
+    of = lambda values: F.get(literal([values.get(i) for i in range(len(bounds) + 1)]), F.col("part"))
+    is_head = F.coalesce("doc_id", F.lit(-(1 << 63))) == of({r.part: r.first for r in first_ids})
     heads = dealt.where(is_head).groupBy("part").agg(F.min(F.struct("doc_id", "text")).alias("least"))
-    heads = heads.select(own(before.items()).alias("part"), F.col("least.doc_id").alias("doc_id"), F.col("least.text").alias("text"), F.lit(True).alias("extra"))
+    heads = heads.select(of(before).cast("int").alias("part"), F.col("least.doc_id").alias("doc_id"), F.col("least.text").alias("text"), F.lit(True).alias("extra"))
     w = Window.partitionBy("part").orderBy("extra", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return dealt.unionByName(heads), w
 
