@@ -107,7 +107,7 @@ def build(pieces: list[tuple[str, float, int]], kind: int, prefix: bool, unknown
 class Pieces(Units):
     """The encoder of one model."""
 
-    pattern = re.compile(" *[^ ]+| +")
+    pattern = ascii_pattern = re.compile(" *[^ ]+| +")
 
     def __init__(self, model: dict):
         super().__init__()

@@ -35,6 +35,7 @@ INDEX = (("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("bytes", "<u4"),
 #: Unicode white space. Byte-level BPE starts a new word at each run of it, so what lies between two starts is encoded alone.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+ASCII_UNIT = re.compile(r"(?a)[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 
 
 def byte_letters() -> list[str]:
@@ -56,7 +57,7 @@ class Encoder(Units):
     library's model and the rest is looked up; all other units go through the whole library.
     """
 
-    pattern = UNIT
+    pattern, ascii_pattern = UNIT, ASCII_UNIT
 
     def __init__(self, model: bytes):
         from tokenizers import Tokenizer
@@ -69,10 +70,15 @@ class Encoder(Units):
 
     def learn(self, units: list[str]) -> list:
         tokenize, letters, new, rest = self.tokenizer.model.tokenize, self.letters, [], []
+        space = letters[32]
         for i, unit in enumerate(units):
             head = unit[0]
             if unit.isalpha() or head == " " and unit[1:].isalpha():
-                new.append([t.id for t in tokenize(unit.encode().decode("latin-1").translate(letters))])
+                if unit.isascii():  # only the space is written by another letter
+                    shown = space + unit[1:] if head == " " else unit
+                else:
+                    shown = unit.encode().decode("latin-1").translate(letters)
+                new.append([t.id for t in tokenize(shown)])
                 continue
             core = unit.rstrip(MARKS)
             if core.isalpha() or (head == " " or head == "\n") and core[1:].isalpha():

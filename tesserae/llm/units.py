@@ -12,9 +12,11 @@ CACHE_UNITS, CACHE_CHARS = 600_000, 8_000_000
 
 
 class Units(dict):
-    """Unit to number. A subclass gives `pattern`, which finds the units, and `learn`, which encodes new ones."""
+    """Unit to number. A subclass gives the patterns that find the units, and `learn`, which encodes new ones."""
 
     pattern: re.Pattern
+    #: The same for texts of ASCII alone, where it can be simpler.
+    ascii_pattern: re.Pattern
 
     def __init__(self):
         self.forget()
@@ -40,7 +42,7 @@ class Units(dict):
             self.forget()
         at = []
         for text in texts:
-            found = self.pattern.findall(text)
+            found = (self.ascii_pattern if text.isascii() else self.pattern).findall(text)
             at.append(np.fromiter(map(self.__getitem__, found), np.int64, len(found)))
         if self.pending:
             new = self.learn(self.pending)
