@@ -96,7 +96,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     share = F.greatest(F.coalesce("raw", F.lit(0)), F.lit(1)) / F.lit(n)
     ratio = F.log((F.coalesce("own", F.lit(0)) + F.lit(prior) * share) / (F.lit(t + prior) * share))
     dense = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(counts), "bucket", "left")
-    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", ratio.alias("r")))), lambda x: x["r"]).alias("ratios"))
+    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", ratio.cast("float").alias("r")))), lambda x: x["r"]).alias("ratios"))
 
 
 def judged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -109,9 +109,11 @@ def judged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     ratios = log_ratios(docs.select("doc_id", "text"), trusted)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     docs = docs.drop(*names)
-    rows = docs.withColumn("_words", words(F.col("text"))).withColumn("_ratios", ratios.scalar())
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.get(F.col("_ratios"), x))
-    found = let(F.col("_words"), lambda w: F.struct(*(c.alias(k) for k, c in measures(w, F.col("text")).items()), let(buckets(w), lambda b: total(b) / F.greatest(F.size(b), F.lit(1))).alias("score")))
+    rows = docs.withColumn("_ratios", ratios.scalar())
+    total = lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(F.col("_ratios"), x))
+    score = lambda w: let(buckets(w), lambda b: total(b) / F.greatest(F.size(b), F.lit(1)))
+    # Words are bound within the expression: as a column they would be copied into every row.
+    found = let(words(F.col("text")), lambda w: F.struct(*(c.alias(k) for k, c in measures(w, F.col("text")).items()), score(w).alias("score")))
     # Through a generator, so that a filter on a measure isn't pushed below and the measures are worked out once.
     rows = rows.select(*(F.col(c) for c in docs.columns), F.inline(F.array(found)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
