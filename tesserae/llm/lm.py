@@ -2,12 +2,13 @@
 
 Training counts every word and word pair of the training documents (`counting`). A count c is kept as its quantised logarithm
 q(c) = 1 + floor(log c / log STEP): the filter holds (n-gram, 1) .. (n-gram, q). A scorer probes level after level until one
-is missing, and takes the middle of the last level found for the count. The filter has PER_EVENT bits for each level held, at
-most `filter_bytes`; where a region of it would overflow, its least pair count rises until the region fits. It is broadcast.
+is missing, and takes the middle of the last level found for the count. The filter has PER_EVENT bits or more for each level held,
+so it grows with the input. Each region of it is a file in the shared folder. A worker holds neighbouring regions of `filter_bytes`
+together (one region at least): a filter within that is read once a worker, a larger one stretch by stretch for every HELD tokens.
 
 The probability is that of a Dirichlet prior: P(w | v) = (c(vw) + kappa * P(w)) / (c(v) + kappa), with
-P(w) = (c(w) + 1) / (N + V + 1). kappa maximises the likelihood of a bounded sample of training documents, each scored by the
-counts without those that it brought itself.
+P(w) = (c(w) + 1) / (N + V + 1). Every document is scored for each of KAPPAS; the kappa taken is the one that maximises the
+likelihood of a bounded sample of training documents, each scored by the counts without those that it brought itself.
 
 The base score needs every word's exact count. The most frequent words (a LISTED_SHARE of the distinct ones, `listed` at most)
 are broadcast; all others go as (row, word) through a join with the table of counts. A listed word is never in that join, so no key of it is hot.
@@ -22,17 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.counting import bit_places, by_region, emit_counts, filter_words, region_bits
+from tesserae.llm.files import read_whole, write_whole
 from tesserae.llm.kernels import chunks, hash_bytes, mix, pack_counts, unpack_counts, utf8, word_hashes
-from tesserae.session import bound_batches, cut
+from tesserae.session import bound_batches, cut, new_path
 
 STEP = 1.5
 PER_EVENT, PROBES = 10.0, 4
 FILTER_BYTES, LISTED, LISTED_SHARE = 64 << 20, 1 << 21, 0.25
-#: Pairs seen less often than this say no more than the words alone.
-LEAST_PAIR = 2
+#: Tokens that a task scores at once where the filter comes in several stretches.
+HELD = 1 << 19
 PAIR_MASK = 0xFFFFFFFFFFFF0000
 END = hash_bytes(b"\n")
 KAPPA_DOCUMENTS, KAPPA_CHARS = 200, 20_000
+KAPPAS = tuple(4.0**i for i in range(12))
 WORDS, PAIRS = 0, 1
 
 
@@ -64,35 +67,64 @@ def pair_keys(t: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + mix(t)) & np.uint64(PAIR_MASK)
 
 
-def event(keys: np.ndarray, level: int, kind: int) -> np.ndarray:
-    return keys + np.uint64((2 * level + kind) * 0xD1B54A32D192ED03 & (1 << 64) - 1)
+def event(keys: np.ndarray, level: int, kind) -> np.ndarray:
+    return keys + (np.atleast_1d(np.asarray(kind, np.uint64)) + np.uint64(2 * level)) * np.uint64(0xD1B54A32D192ED03)
 
 
-def probe_levels(model: dict, kind: int, keys: np.ndarray) -> np.ndarray:
-    """The highest level held of each key: 0 where the first one probed is missing."""
-    first = model["first"][kind]
+def stretches(sizes: np.ndarray, filter_bytes: int) -> list[tuple[int, int]]:
+    """Neighbouring regions, as (first, last + 1), of `filter_bytes` together at most or one alone."""
+    out, a, held = [], 0, 0
+    for r, size in enumerate(sizes.tolist()):
+        if r > a and (held + size) * 8 > filter_bytes:
+            out.append((a, r))
+            a, held = r, 0
+        held += size
+    return [*out, (a, len(sizes))]
+
+
+def hold(model: dict, a: int, b: int) -> np.ndarray:
+    """The filters of regions a to b - 1, one after the other; the last ones read stay in the model."""
+    if model["held"] is None or model["held"][0] != (a, b):
+        model["held"] = None  # room for the next ones
+        words = np.zeros(int(model["words"][a:b].sum()), np.uint64)
+        at = 0
+        for r in range(a, b):
+            if n := int(model["words"][r]):
+                words[at : at + n] = np.frombuffer(read_whole(f"{model['folder']}/{r}"), np.uint64)
+                at += n
+        model["held"] = (a, b), words
+    return model["held"][1]
+
+
+def probe_levels(model: dict, kind, keys: np.ndarray) -> np.ndarray:
+    """The highest level held of each key: 0 where the first one is missing. kind: of all keys or of each."""
     out = np.zeros(len(keys), np.int64)
+    kind = np.broadcast_to(np.asarray(kind, np.uint64), keys.shape)
     region = (keys >> np.uint64(64 - model["bits"])).astype(np.int64)
-    words, start = model["words"][region], model["start"][region]
-    alive, level = np.flatnonzero(words > 0), first
-    while len(alive):
-        at, mask = bit_places(event(keys[alive], level, kind), 1 << 31, PROBES)
-        held = (model["filter"][at.astype(np.int64) % words[alive] + start[alive]] & mask) == mask
-        alive = alive[held]
-        out[alive] = level
-        level += 1
+    words = model["words"][region]
+    for a, b in model["stretches"]:
+        alive = np.flatnonzero((words > 0) & (region >= a) & (region < b)) if len(model["stretches"]) > 1 else np.flatnonzero(words > 0)
+        if not len(alive):
+            continue
+        held, start, level = hold(model, a, b), model["start"] - model["start"][a], 1
+        while len(alive):
+            at, mask = bit_places(event(keys[alive], level, kind[alive]), 1 << 31, PROBES)
+            alive = alive[(held[at.astype(np.int64) % words[alive] + start[region[alive]]] & mask) == mask]
+            out[alive] = level
+            level += 1
     return out
 
 
 def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, listed: int = LISTED) -> tuple[dict, DataFrame]:
     """(the model, the table of exact word counts) from docs(text).
 
-    The table has a row for each region of the key space with a packed blob. The model is a dictionary of arrays of bounded
-    size: filter_bytes, and 16 bytes for each of `listed` words.
+    The table has a row for each region of the key space with a packed blob. The model is a dictionary with the filter's folder
+    and arrays of bounded size: 16 bytes for each of `listed` words. What a worker reads of the filter is held in it, too.
     """
     spark = docs.sparkSession
     bits = region_bits(spark)
-    most_words, most_listed = max(8, (filter_bytes >> 3) >> bits), max(1, listed >> bits)
+    most_listed = max(1, listed >> bits)
+    folder = new_path(spark, "filter")
 
     def count(kind, key_of):
         def run(batches):
@@ -110,21 +142,14 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, listed: int = LISTE
         return pa.table({"region": pa.array([region], pa.int32()), "total": pa.array([int(counts.sum())], pa.int64()), "distinct": pa.array([len(keys)], pa.int64()), "blob": pa.array([pack_counts(keys, counts)], pa.binary())})
 
     def pairs_of(_, region, keys, counts):
-        least = LEAST_PAIR
-        while True:
-            keys, counts = keys[counts >= least], counts[counts >= least]
-            events = int((quantised(counts) - quantised(np.array([LEAST_PAIR]))[0] + 1).sum())
-            if events * PER_EVENT <= most_words * 64 * 3 // 4:
-                break
-            least += 1
-        return pa.table({"region": pa.array([region], pa.int32()), "events": pa.array([events], pa.int64()), "blob": pa.array([pack_counts(keys, counts)], pa.binary())})
+        return pa.table({"region": pa.array([region], pa.int32()), "blob": pa.array([pack_counts(keys, counts)], pa.binary())})
 
     words = cut(by_region(count(WORDS, lambda t: t), words_of, "region int, total long, distinct long, blob binary"), "words")
-    pairs = by_region(count(PAIRS, pair_keys), pairs_of, "region int, events long, blob binary")
+    pairs = by_region(count(PAIRS, pair_keys), pairs_of, "region int, blob binary")
     n, v = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
 
     def build(table: pa.Table) -> pa.Table:
-        """One region's part of the filter, and its most frequent words."""
+        """Write one region's part of the filter; its size and the most frequent words."""
         keys, levels, kinds = [], [], []
         top_keys = top_counts = np.zeros(0, np.uint64)
         for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
@@ -135,31 +160,24 @@ def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, listed: int = LISTE
                 while int((c >= least).sum()) > min(most_listed, int(LISTED_SHARE * len(c))):
                     least += max(1, least // 8)
                 top_keys, top_counts = k[c >= least], c[c >= least]
-        first = {WORDS: 1, PAIRS: int(quantised(np.array([LEAST_PAIR]))[0])}
-        events = sum(int((q - first[kind] + 1).sum()) for q, kind in zip(levels, kinds, strict=True))
-        size = min(filter_words(events, PER_EVENT), most_words)
+        size = filter_words(sum(int(q.sum()) for q in levels), PER_EVENT)
         out = np.zeros(size, np.uint64)
         for k, q, kind in zip(keys, levels, kinds, strict=True):
-            for level in range(first[kind], int(q.max(initial=0)) + 1):
+            for level in range(1, int(q.max(initial=0)) + 1):
                 at, mask = bit_places(event(k[q >= level], level, kind), 1 << 31, PROBES)
                 np.bitwise_or.at(out, at.astype(np.int64) % size, mask)
-        return pa.table({"region": table.column("region").slice(0, 1), "filter": [out.tobytes()], "keys": [top_keys.tobytes()], "counts": [top_counts.tobytes()]})
+        region = table.column("region")[0].as_py()
+        write_whole(f"{folder}/{region}", out.tobytes())
+        return pa.table({"region": pa.array([region], pa.int32()), "words": pa.array([size], pa.int64()), "keys": [top_keys.tobytes()], "counts": [top_counts.tobytes()]})
 
     both = words.select("region", F.lit(WORDS).alias("kind"), "blob").unionByName(pairs.select("region", F.lit(PAIRS).alias("kind"), "blob"))
-    built = cut(both.groupBy("region").applyInArrow(build, "region int, filter binary, keys binary, counts binary"), "filter")
-    # Read one partition at a time: the driver holds the filter and the list once, and no more than a partition besides.
-    parts = {r.region: [np.frombuffer(x, np.uint64) for x in (r.filter, r["keys"], r["counts"])] for r in built.toLocalIterator()}
-    sizes = np.zeros(1 << bits, np.int64)
-    for region, (own, _, _) in parts.items():
-        sizes[region] = len(own)
-    joined = lambda: np.concatenate([np.zeros(0, np.uint64), *(parts[r].pop(0) for r in sorted(parts))])  # noqa: E731  filters, then keys, then counts
-    model = {"bits": bits, "words": sizes, "start": np.cumsum(sizes) - sizes, "filter": joined(), "keys": joined(), "counts": joined(), "n": int(n), "v": int(v), "first": {WORDS: 1, PAIRS: int(quantised(np.array([LEAST_PAIR]))[0])}}
-    del parts
-    sample = docs.select(F.substring("text", 1, KAPPA_CHARS).alias("text")).orderBy(F.xxhash64("text")).limit(KAPPA_DOCUMENTS).toArrow()
-    raw, offsets = utf8(sample.column("text"))
-    t, doc = tokens(raw, offsets)
-    own = [times_in(keys, doc) for keys in (t, np.concatenate([np.array([END], np.uint64), t[:-1]]), pair_keys(t))]
-    model["kappa"] = max((4.0**i for i in range(12)), key=lambda kappa: float(log_probabilities(model | {"kappa": kappa}, t, own).sum()))
+    built = cut(both.groupBy("region").applyInArrow(build, "region int, words long, keys binary, counts binary"), "filter")
+    # Read one partition at a time: the driver holds the list once, and no more than a partition besides.
+    sizes, parts = np.zeros(1 << bits, np.int64), {}
+    for r in built.toLocalIterator():
+        sizes[r.region], parts[r.region] = r.words, [np.frombuffer(x, np.uint64) for x in (r["keys"], r["counts"])]
+    joined = lambda: np.concatenate([np.zeros(0, np.uint64), *(parts[r].pop(0) for r in sorted(parts))])  # noqa: E731  keys, then counts
+    model = {"bits": bits, "folder": folder, "words": sizes, "start": np.cumsum(sizes) - sizes, "stretches": stretches(sizes, filter_bytes), "held": None, "keys": joined(), "counts": joined(), "n": int(n), "v": int(v)}
     return model, words
 
 
@@ -169,16 +187,24 @@ def times_in(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return n[place]
 
 
-def log_probabilities(model: dict, t: np.ndarray, leave=(0, 0, 0)) -> np.ndarray:
-    """log10 P of each token; `leave` is taken off the counts of the token, of the one before it and of the pair."""
+def likelihoods(model: dict, t: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 P, the same without a document's own counts) of each document of tokens(), a column for each of KAPPAS."""
     own, place = np.unique(t, return_inverse=True)
-    single = middle(probe_levels(model, WORDS, own))[place]
-    before = np.concatenate([middle(probe_levels(model, WORDS, np.array([END], np.uint64))), single[:-1]])
-    pair = middle(probe_levels(model, PAIRS, pair_keys(t)))
-    pair = np.minimum(pair, np.minimum(single, before))
-    single, before, pair = (np.maximum(x - n, 0) for x, n in zip((single, before, pair), leave, strict=True))
-    alone = np.minimum((single + 1) / (model["n"] + model["v"] + 1), 1.0)
-    return np.log10((pair + model["kappa"] * alone) / (before + model["kappa"]))
+    pairs = pair_keys(t)
+    counts = middle(probe_levels(model, np.repeat([WORDS, PAIRS], [len(own), len(pairs)]), np.concatenate([own, pairs])))
+    single, pair = counts[place], counts[len(own) :]
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    mine = times_in(t, doc)
+
+    def sums(single, before, pair):
+        pair = np.minimum(pair, np.minimum(single, before))
+        alone = np.minimum((single + 1) / (model["n"] + model["v"] + 1), 1.0)
+        return np.stack([np.add.reduceat(np.log10((pair + kappa * alone) / (before + kappa)), first) for kappa in KAPPAS], axis=1)
+
+    # The last token is an end, as is the one before the first. So a token's place before another is its place shifted by one.
+    before = np.roll(single, 1)
+    left = np.maximum(single - mine, 0)
+    return sums(single, before, pair), sums(left, np.maximum(before - np.roll(mine, 1), 0), np.maximum(np.minimum(pair, np.minimum(single, before)) - times_in(pairs, doc), 0))
 
 
 def score_texts(docs: DataFrame, is_held_out, filter_bytes: int = FILTER_BYTES, listed: int = LISTED) -> DataFrame:
@@ -195,21 +221,40 @@ def score_texts(docs: DataFrame, is_held_out, filter_bytes: int = FILTER_BYTES,
 
     def run(batches):
         m, task, row = shared.value, TaskContext.get().partitionId(), 0
+        most, held = HELD if len(m["stretches"]) > 1 else 0, []
+
+        def score():
+            """The held documents' rows."""
+            nonlocal row
+            t, sizes = np.concatenate([x for x, _, _ in held]), np.concatenate([x for _, x, _ in held])
+            ids = pa.Table.from_batches([x for _, _, x in held]).combine_chunks()
+            held.clear()
+            first = np.cumsum(sizes) - sizes
+            at = np.minimum(np.searchsorted(m["keys"], t), max(len(m["keys"]) - 1, 0))
+            known = m["keys"][at] == t if len(m["keys"]) else np.zeros(len(t), bool)
+            counts = np.where(known, m["counts"][at] if len(m["keys"]) else 0, 0)
+            rest = np.flatnonzero(~known)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, [*first, len(t)]), pa.int32()), pa.array(t[rest].view(np.int64)))
+            sums = lambda x: np.add.reduceat(x, first)  # noqa: E731  every document has its end
+            by_kappa = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(KAPPAS)).cast(pa.list_(pa.float64())) for x in likelihoods(m, t, np.repeat(np.arange(len(sizes)), sizes))]
+            out = pa.RecordBatch.from_arrays([pa.array((task << 33) + row + np.arange(len(sizes)), pa.int64()), *(pa.concat_arrays(x.chunks) for x in ids.columns), pa.array(sizes, pa.int64()), pa.array(sums(known.astype(np.int64)), pa.int64()), pa.array(sums(np.log10(counts + 1.0)), pa.float64()), *by_kappa, lists], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "scores", "apart", "rest"])
+            row += len(sizes)
+            return out
+
         for batch in batches:
             raw, offsets = utf8(batch.column("text"))
             for a, b in chunks(offsets):
                 t, doc = tokens(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                at = np.minimum(np.searchsorted(m["keys"], t), max(len(m["keys"]) - 1, 0))
-                known = m["keys"][at] == t if len(m["keys"]) else np.zeros(len(t), bool)
-                counts = np.where(known, m["counts"][at] if len(m["keys"]) else 0, 0)
-                first = np.searchsorted(doc, np.arange(b - a + 1))
-                rest = np.flatnonzero(~known)
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, first), pa.int32()), pa.array(t[rest].view(np.int64)))
-                sums = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every document has its end
-                yield pa.RecordBatch.from_arrays([pa.array((task << 33) + row + np.arange(b - a), pa.int64()), batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(np.diff(first), pa.int64()), pa.array(sums(known.astype(np.int64)), pa.int64()), pa.array(sums(np.log10(counts + 1.0)), pa.float64()), pa.array(sums(log_probabilities(m, t)), pa.float64()), lists], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rest"])
-                row += b - a
-
-    scored = cut(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rest array<long>"), "scored")
+                held.append((t, np.bincount(doc, minlength=b - a), batch.select(["doc_id", "held_out"]).slice(a, b - a)))
+                if sum(len(x) for x, _, _ in held) >= most:
+                    yield score()
+        if held:
+            yield score()
+
+    scored = cut(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, scores array<double>, apart array<double>, rest array<long>"), "scored")
+    sample = docs.where(~F.col("held_out")).select(F.substring("text", 1, KAPPA_CHARS).alias("text")).orderBy(F.xxhash64("text")).limit(KAPPA_DOCUMENTS).toArrow()
+    fit = likelihoods(model, *tokens(*utf8(sample.column("text"))))[1].sum(axis=0) if sample.num_rows else np.zeros(len(KAPPAS))
+    score = F.get("scores", F.lit(int(np.argmax(fit))))
 
     def unpack(batches):
         for batch in batches:
@@ -221,7 +266,7 @@ def score_texts(docs: DataFrame, is_held_out, filter_bytes: int = FILTER_BYTES,
     exact = words.select("blob").mapInArrow(unpack, "word long, log double")
     rest = scored.select("row", F.explode("rest").alias("word")).join(exact, "word").groupBy("row").agg(F.count("*").alias("n"), F.sum("log").alias("log"))
     total = model["n"] + model["v"] + 1
-    return scored.drop("rest").join(rest, "row", "left").select(
+    return scored.drop("rest", "apart").join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("n", F.lit(0))).alias("n_known"), F.lit(model["n"]).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total)))).alias("base_score"), "score",
+        (F.col("logs") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total)))).alias("base_score"), score.alias("score"),
     )

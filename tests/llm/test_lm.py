@@ -72,3 +72,21 @@ def test_counts_from_the_filter(spark, docs):
     absent = np.array([lm.hash_bytes(f"y{i}".encode()) for i in range(3000)], np.uint64)
     assert (lm.probe_levels(model, lm.WORDS, absent) > 0).mean() < 0.1
     assert all(abs(lm.middle(lm.quantised(np.array([c])))[0] - c) <= 0.25 * c for c in range(1, 2000))
+
+
+def test_every_pair_is_kept_however_small_the_room(spark, docs):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(200)) for _ in range(40)]
+    pairs = Counter(p for t in texts for p in zip(["\n", *words(t)], words(t), strict=False))
+    h = lambda w: lm.hash_bytes(w.encode())
+    keys = np.array([lm.pair_keys(np.array([h(a), h(b)], np.uint64))[1] for a, b in pairs], np.uint64)
+    want = lm.quantised(np.array([*pairs.values()]))
+    absent = lm.mix(np.arange(3000, dtype=np.uint64)) & np.uint64(lm.PAIR_MASK)
+    levels = []
+    for room in (lm.FILTER_BYTES, 64):
+        model, _ = lm.train(docs(texts), filter_bytes=room)
+        got = lm.probe_levels(model, lm.PAIRS, keys)
+        assert (got >= want).all() and (got == want).mean() > 0.8 and (want == 1).mean() > 0.5
+        assert (lm.probe_levels(model, lm.PAIRS, absent) > 0).mean() < 0.1
+        levels.append(got)
+    assert (levels[0] == levels[1]).all()
