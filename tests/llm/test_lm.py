@@ -90,3 +90,10 @@ def test_every_pair_is_kept_however_small_the_room(spark, docs):
         assert (lm.probe_levels(model, lm.PAIRS, absent) > 0).mean() < 0.1
         levels.append(got)
     assert (levels[0] == levels[1]).all()
+
+
+def test_many_words_dont_fill_the_filter(spark, docs):
+    model, _ = lm.train(docs([" ".join(f"v{i}_{j}" for i in range(2000)) for j in range(20)]), filter_bytes=64)
+    absent = lm.mix(np.arange(3000, dtype=np.uint64))
+    got = lm.probe_levels(model, lm.WORDS, absent)
+    assert (got > 0).mean() < 0.1 and got.max() < 8
