@@ -8,7 +8,7 @@ together (one region at least): a filter within that is read once a worker, a la
 
 The probability is that of a Dirichlet prior: P(w | v) = (c(vw) + kappa * P(w)) / (c(v) + kappa), with
 P(w) = (c(w) + 1) / (N + V + 1). Every document is scored for each of KAPPAS; the kappa taken is the one that maximises the
-likelihood of a bounded sample of training documents, each scored by the counts without those that it brought itself.
+likelihood of all training documents, each scored by the counts without those that it brought itself.
 
 The base score needs every word's exact count. The most frequent words (a LISTED_SHARE of the distinct ones, `listed` at most)
 are broadcast; all others go as (row, word) through a join with the table of counts. A listed word is never in that join, so no key of it is hot.
@@ -34,7 +34,6 @@ FILTER_BYTES, LISTED, LISTED_SHARE = 64 << 20, 1 << 21, 0.25
 HELD = 1 << 19
 PAIR_MASK = 0xFFFFFFFFFFFF0000
 END = hash_bytes(b"\n")
-KAPPA_DOCUMENTS, KAPPA_CHARS = 200, 20_000
 KAPPAS = tuple(4.0**i for i in range(12))
 WORDS, PAIRS = 0, 1
 
@@ -252,8 +251,7 @@ def score_texts(docs: DataFrame, is_held_out, filter_bytes: int = FILTER_BYTES,
             yield score()
 
     scored = cut(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, scores array<double>, apart array<double>, rest array<long>"), "scored")
-    sample = docs.where(~F.col("held_out")).select(F.substring("text", 1, KAPPA_CHARS).alias("text")).orderBy(F.xxhash64("text")).limit(KAPPA_DOCUMENTS).toArrow()
-    fit = likelihoods(model, *tokens(*utf8(sample.column("text"))))[1].sum(axis=0) if sample.num_rows else np.zeros(len(KAPPAS))
+    fit = scored.where(~F.col("held_out")).agg(*(F.coalesce(F.sum(F.get("apart", F.lit(i))), F.lit(0.0)) for i in range(len(KAPPAS)))).first()
     score = F.get("scores", F.lit(int(np.argmax(fit))))
 
     def unpack(batches):

@@ -97,3 +97,21 @@ def test_many_words_dont_fill_the_filter(spark, docs):
     absent = lm.mix(np.arange(3000, dtype=np.uint64))
     got = lm.probe_levels(model, lm.WORDS, absent)
     assert (got > 0).mean() < 0.1 and got.max() < 8
+
+
+def test_kappa_is_that_of_all_documents_to_their_ends(spark, docs):
+    rng = random.Random(6)
+    head = lambda: " ".join(f"random{rng.randrange(300)}" for _ in range(2500))  # noqa: E731  over 20,000 characters
+    texts = [" ".join([head(), *(f"c{i}" for i in range(3000))]) for _ in range(10)]
+    texts += [head()] * 2
+    model, _ = lm.train(docs(texts))
+
+    def fit(parts):
+        return sum(lm.likelihoods(model, *lm.tokens(raw, np.array([0, len(raw)])))[1][0] for raw in (np.frombuffer(t.encode(), np.uint8) for t in parts))
+
+    best = int(np.argmax(fit(texts)))
+    assert best != int(np.argmax(fit([t[:20_000] for t in texts])))
+    raw = np.frombuffer(b"c0 c1 random5 c2", np.uint8)
+    want = lm.likelihoods(model, *lm.tokens(raw, np.array([0, len(raw)])))[0][0]
+    got = lm.score_texts(docs([*texts, "c0 c1 random5 c2"]), F.col("doc_id") == len(texts)).where("held_out").first().score
+    assert abs(got - want[best]) < 1e-9 and np.ptp(want) > 0.1
