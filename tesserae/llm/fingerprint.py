@@ -3,7 +3,7 @@
 A paragraph is a line, cut further behind each `.`, `!` or `?` with a space and behind every LONGEST words, so that short texts
 have several, too; spaces and line ends at the cuts don't count.
 Each paragraph is hashed to a vector of LANES bytes (a 64-bit hash for every eight lanes), and the vectors of a text are added
-lane by lane modulo 2**16, with the number of paragraphs modulo 2**32 beside them. So the fingerprint doesn't depend on the
+lane by lane in 64 bits, which no text fills, with the number of paragraphs beside them. So the fingerprint doesn't depend on the
 paragraphs' order, and paragraphs can be added or taken away (`combine`). Equal texts have equal fingerprints.
 
 The likeness of two fingerprints is the cosine of their vectors, each lane less its mean, not below 0: an unbiased estimate of
@@ -18,10 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LANES, LONGEST = 128, 8
-#: Two lanes a 64-bit word: 16 bits each with 16 bits of room, so that sums never run into the next lane.
-WORDS = LANES // 2
-LANE_MASK = 0x0000FFFF0000FFFF
-BYTE_MASK = 0x000000FF000000FF
+#: Sums of PACKED bytes leave the sign of four 16-bit lanes in a 64-bit word free; then they go to lanes of their own.
+PACKED, BYTE_MASK = 128, 0x00FF00FF00FF00FF
 
 
 def let(value: Column, fn: Callable[[Column], Column]) -> Column:
@@ -39,43 +37,55 @@ def paragraphs(text: Column) -> Column:
 
 
 def words_of(paragraph: Column) -> Column:
-    """The vector of one paragraph: WORDS longs with two lanes of eight bits each."""
+    """The vector of one paragraph: four lanes of eight bits in each long."""
     hashes = [F.xxhash64(F.lit(i), paragraph) for i in range(LANES // 8)]
-    return F.array(*(F.shiftrightunsigned(h, 8 * j).bitwiseAND(F.lit(BYTE_MASK)) for h in hashes for j in range(4)))
+    return F.array(*(F.shiftrightunsigned(h, 8 * j).bitwiseAND(F.lit(BYTE_MASK)) for h in hashes for j in range(2)))
 
 
 def nothing() -> Column:
     """The sketch of no paragraph."""
-    return F.struct(F.lit(0).cast("long").alias("n"), F.array_repeat(F.lit(0).cast("long"), WORDS).alias("words"))
+    return F.struct(F.lit(0).cast("long").alias("n"), F.array_repeat(F.lit(0).cast("long"), LANES).alias("words"))
+
+
+def plus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
 
 
 def sketch(paragraphs: Column, start: Column | None = None) -> Column:
-    """struct<n: long, words: array<long>> of an array of paragraphs, added to `start`."""
-    return F.aggregate(paragraphs, nothing() if start is None else start, lambda a, p: add(a, F.struct(F.lit(1).cast("long").alias("n"), words_of(p).alias("words"))))
+    """struct<n: long, words: array<long>> of an array of paragraphs, added to `start`. A word is one lane's sum."""
+    none = F.array_repeat(F.lit(0).cast("long"), LANES // 4)
+    wide = lambda packed: F.flatten(F.transform(packed, lambda w: F.array(*(F.shiftrightunsigned(w, 16 * j).bitwiseAND(F.lit(0xFFFF)) for j in range(4)))))
+    state = lambda n, packed, words: F.struct(n.alias("n"), packed.alias("packed"), words.alias("words"))
+
+    def step(a: Column, p: Column) -> Column:
+        n, packed = a["n"] + 1, plus(a["packed"], words_of(p))
+        return F.when(n % PACKED == 0, state(n, none, plus(a["words"], wide(packed)))).otherwise(state(n, packed, a["words"]))
+
+    def begun(s: Column) -> Column:
+        all_ = F.aggregate(paragraphs, state(F.lit(0).cast("long"), none, s["words"]), step)
+        return let(all_, lambda a: F.struct((s["n"] + a["n"]).alias("n"), plus(a["words"], wide(a["packed"])).alias("words")))
+
+    return let(nothing() if start is None else start, begun)
 
 
 def add(a: Column, b: Column) -> Column:
     """The sketch of two texts' paragraphs together."""
-    return F.struct((a["n"] + b["n"]).alias("n"), F.zip_with(a["words"], b["words"], lambda x, y: (x + y).bitwiseAND(F.lit(LANE_MASK))).alias("words"))
+    return F.struct((a["n"] + b["n"]).alias("n"), plus(a["words"], b["words"]).alias("words"))
 
 
 def subtract(a: Column, b: Column) -> Column:
     """The sketch of a's paragraphs without b's."""
-    borrow = F.lit(0x0001000000010000)
-    return F.struct((a["n"] - b["n"]).alias("n"), F.zip_with(a["words"], b["words"], lambda x, y: (x + borrow - y).bitwiseAND(F.lit(LANE_MASK))).alias("words"))
+    return F.struct((a["n"] - b["n"]).alias("n"), F.zip_with(a["words"], b["words"], lambda x, y: x - y).alias("words"))
 
 
 def written(s: Column) -> Column:
-    """A sketch as text: eight hexadecimal digits of the paragraphs' number, then four for each lane."""
-    digits = lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))
-    lanes = F.transform(s["words"], lambda w: let(digits(w), lambda h: F.concat(F.substring(h, 5, 4), F.substring(h, 13, 4))))
-    return F.concat(F.lower(F.lpad(F.hex(s["n"] % F.lit(1 << 32)), 8, "0")), F.array_join(lanes, ""))
+    """A sketch as text: the paragraphs' number, then each lane, in hexadecimal with dots between."""
+    return let(s, lambda x: F.lower(F.array_join(F.transform(F.concat(F.array(x["n"]), x["words"]), lambda w: F.hex(w)), ".")))
 
 
 def lanes_of(s: Column) -> Column:
-    """The lanes as doubles, each less its mean over all hashes and back in the range of 16 bits around 0."""
-    centred = lambda v: F.pmod(v.cast("double") - s["n"] * 127.5 + 32768.0, F.lit(65536.0)) - 32768.0
-    return F.transform(F.flatten(F.transform(s["words"], lambda w: F.array(F.shiftrightunsigned(w, 32), w.bitwiseAND(F.lit(0xFFFF))))), centred)
+    """The lanes as doubles, each less its mean over all hashes."""
+    return F.transform(s["words"], lambda w: w.cast("double") - s["n"] * 127.5)
 
 
 def likeness(a: Column, b: Column) -> Column:

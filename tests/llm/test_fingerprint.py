@@ -58,3 +58,17 @@ def test_likeness_follows_what_is_shared(spark):
     lanes = lambda c: P.lanes_of(P.sketch(P.paragraphs(F.col(c))))
     got = {r.k: r.n for r in rows.select("k", P.likeness(lanes("a"), lanes("b")).alias("n")).collect()}
     assert got[200] == 1 and all(abs(got[k] - k / 200) < 4 / P.LANES**0.5 for k in got)
+
+
+def test_repeated_lines_dont_wrap(spark):
+    rows = []
+    for m in (100, 257, 258, 400, 1000, 2000):
+        m4 = m // 4
+        rows.append((m, "\n".join(["the same line"] * m), "\n".join(["the same line"] * (m - m4) + [f"other{i}" for i in range(m4)])))
+    df = spark.createDataFrame(rows, "m int, a string, b string")
+    lanes = lambda c: P.lanes_of(P.sketch(P.paragraphs(F.col(c))))
+    for r in df.select("m", P.likeness(lanes("a"), lanes("b")).alias("n"), P.likeness(lanes("a"), lanes("a")).alias("own")).collect():
+        x, k = r.m - r.m // 4, r.m // 4
+        assert r.own == 1 and abs(r.n - x / (x * x + k) ** 0.5) < 0.01, r
+    sums = df.select("m", P.sketch(P.paragraphs(F.col("a"))).alias("s"), P.sketch(F.array(F.lit("the same line"))).alias("one")).collect()
+    assert all(r.s.n == r.m and r.s.words == [r.m * w for w in r.one.words] for r in sums)
