@@ -54,7 +54,8 @@ class Encoder(Units):
 
     Most units are letters, after one space or line end at most and before marks of punctuation or none. The library's
     pre-tokenizer cuts those into the line end, the letters with their space, and the marks, so the letters go straight to the
-    library's model and the rest is looked up; all other units go through the whole library.
+    library's model and the rest is looked up; all other units go through the whole library. So do whole texts that hold one of
+    the tokenizer's added tokens (<|endoftext|>), at which the library cuts before anything else.
     """
 
     pattern, ascii_pattern = UNIT, ASCII_UNIT
@@ -64,10 +65,18 @@ class Encoder(Units):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_buffer(model)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.known: dict[str, list[int]] = {}
         self.letters = str.maketrans(dict(enumerate(byte_letters())))
 
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if any(x in t for x in self.added)}
+        if not whole:
+            return super().encode(texts, end)
+        ids, bounds = super().encode(["" if i in whole else t for i, t in enumerate(texts)], end)
+        parts = [np.concatenate([np.array(whole.get(i, []), ids.dtype), ids[a:b]]) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(bounds.dtype)
+
     def learn(self, units: list[str]) -> list:
         tokenize, letters, new, rest = self.tokenizer.model.tokenize, self.letters, [], []
         space = letters[32]

@@ -54,3 +54,12 @@ def test_empty_table_and_wrong_dictionary(spark, docs):
 
 def test_vocabulary_is_read_by_the_library():
     assert Tokenizer.from_file(PATH).get_vocab_size() == 50257
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", " ", "\n", "a", " b", "<|", "|>", "endoftext", "é", "  ", "!"]), max_size=8).map("".join), max_size=5))
+def test_added_tokens_are_the_librarys(texts):
+    fresh = Tokenizer.from_file(PATH)
+    ids, bounds = ENCODER.encode(texts, 0)
+    assert [list(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[*fresh.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert list(ENCODER.encode(["x", "a <|endoftext|> b"])[0][-4:]) == [64, 220, 50256, 275]
