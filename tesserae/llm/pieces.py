@@ -9,15 +9,20 @@ Unigram models give paths the sum of their pieces' scores. Models of kind BPE ho
 sum of those isn't what merging gives. For them the lattice is restricted instead: a piece may follow another only if merging
 leaves that pair as it is. A sequence is what merging gives if and only if each neighbouring pair of it is, so exactly one path
 is left to every position, and the same search finds the library's ids. Whether a pair stays is found by undoing its latest
-merges one after the other and asking whether the two pieces at the border would have been merged before.
+merges one after the other and asking whether the two pieces at the border would have been merged before. Pieces of equal score
+share a rank, and of equal merges the leftmost comes first; so it is with runs of spaces.
+
+Long units are cut into windows that overlap, and these advance together like other words. Two windows that have a piece in common
+at the same place are joined there: all neighbouring pairs of the joint sequence stay, so it is the sequence of the whole. Where
+two windows share none, and for unigram models, a long unit is searched from end to end, in blocks of positions.
 
 Characters without a piece become their UTF-8 bytes' pieces, or the unknown piece in models without those.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
+from bisect import bisect_left
 from hashlib import sha256
 
 import numpy as np
@@ -26,8 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.kernels import BASE_INVERSE, chunks, mix, powers, prefix_hashes, span_hashes
-from tesserae.llm.units import Units
+from tesserae.llm.kernels import BASE_INVERSE, chunks, mix, powers, prefix_hashes, span_hashes, utf8
+from tesserae.llm.units import Units, flat
 from tesserae.session import bound_batches
 
 SPACE = "\u2581"
@@ -40,6 +45,11 @@ CELLS = 1 << 18
 SEEN_BITS = 20
 #: Pairs of pieces that are remembered, a power of two.
 REMEMBERED = 1 << 20
+#: Characters of a window of a longer unit, and how many of them the next window has, too. Their difference is a multiple of the
+#: sizes that runs of one character are mostly cut to.
+WINDOW, OVERLAP = 256, 64
+#: Bytes of text that are searched at once, and whose ids are made at once; one document at least.
+SEARCHED_BYTES, BLOCK_BYTES = 4 << 20, 1 << 18
 
 
 def merge(text: str, scores: dict[str, float]) -> list[tuple[str, tuple]]:
@@ -81,44 +91,47 @@ def build(pieces: list[tuple[str, float, int]], kind: int, prefix: bool, unknown
     left, right = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32)
     rank, born = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
     if kind == BPE:
-        for i, p in enumerate(sorted(scores, key=lambda p: -scores[p])):
-            rank[ids[p]] = i
+        order_of = {x: i for i, x in enumerate(sorted(set(scores.values()), reverse=True))}
+        for p, x in scores.items():
+            rank[ids[p]] = order_of[x]
         for p in sorted(ids, key=len):
             if len(p) > 1:
-                made = merge(p, scores) if SPACE * 2 not in p else []
+                made = merge(p, scores)
                 if len(made) == 1:
                     a, b = (ids.get(x[0], -1) for x in made[0][1])
                     if born[a] < NEVER and born[b] < NEVER and a >= 0 and b >= 0:
                         left[ids[p]], right[ids[p]], born[ids[p]] = a, b, max(rank[ids[p]], born[a], born[b])
                         continue
                 born[ids[p]] = NEVER  # merging never makes it
+    pairs = sorted((ids[p[:k]] * n + ids[p[k:]], int(rank[i])) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids) or [(-1, 0)]
     shown = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t not in (NORMAL, USER, UNKNOWN) else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in pieces]
     as_bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
     return {
         "kind": kind, "prefix": prefix, "n": n, "unknown": unknown, "longest": max(map(len, ids)), "scores": scores, "ids": ids,
         "keys": keys[order], "seen": np.bincount((keys >> np.uint64(64 - SEEN_BITS)).astype(np.int64), minlength=1 << SEEN_BITS) > 0, "places": np.array(list(ids.values()), np.int32)[order],
-        "score": np.array([s for _, s, _ in pieces] + [min(scores.values()) - 10.0], np.float32), "left": left, "right": right, "rank": rank, "born": born,
+        "score": np.array([s for _, s, _ in pieces] + [min(scores.values()) - 10.0], np.float32), "left": left, "right": right, "rank": rank, "born": born, "pairs": np.array([k for k, _ in pairs]), "pair_rank": np.array([r for _, r in pairs]),
         "bytes": np.array([as_bytes.get(i, -1) for i in range(256)], np.int64) if len(as_bytes) == 256 else None,
         "shown": np.frombuffer(b"".join(shown), np.uint8), "shown_at": np.concatenate([[0], np.cumsum([len(x) for x in shown])]),
-        "names": [p for p, _, _ in pieces] + [""],
+        "names": [p for p, _, _ in pieces] + [""], "sizes": [len(p) for p, _, _ in pieces] + [1],
     }
 
 
 class Pieces(Units):
     """The encoder of one model."""
 
-    pattern = ascii_pattern = re.compile(" *[^ ]+| +")
-
     def __init__(self, model: dict):
         super().__init__()
         self.m = model
         self.pairs, self.stays = np.full(REMEMBERED, -1, np.int64), np.zeros(REMEMBERED, bool)
 
+    def solid(self, raw: np.ndarray) -> np.ndarray:
+        return raw != 32
+
     def joined_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the piece that two pieces make in a row; NEVER if there is none."""
-        names, ids = self.m["names"], self.m["ids"]
-        found = np.array([ids.get(names[x] + names[y], -1) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
-        return np.where(found >= 0, self.m["rank"][found], NEVER)
+        pairs, key = self.m["pairs"], a.astype(np.int64) * self.m["n"] + b
+        at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        return np.where(pairs[at] == key, self.m["pair_rank"][at], NEVER)
 
     def stay(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging leaves each pair (a, b) of pieces as it is."""
@@ -162,14 +175,15 @@ class Pieces(Units):
                 self.pairs[at[again]] = -1
         return out
 
-    def lookup(self, at: np.ndarray, prefix: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-        """found[size, end, word]: the piece of `size` characters that ends there, -1 if there is none."""
+    def lookup(self, at: np.ndarray, first: int, stop: int, prefix: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        """found[size, end - first, word]: the piece of `size` characters that ends there, -1 if there is none."""
         m, (words, n) = self.m, (len(at), at.shape[1] - 1)
         longest = min(n, m["longest"])
-        found = np.full((longest + 1, n + 1, words), -1, np.int32)
-        for size in range(1, longest + 1):
-            h = span_hashes(prefix, inverse, at[:, : n + 1 - size].T, at[:, size:].T)
-            part = found[size, size:]
+        found = np.full((longest + 1, stop - first, words), -1, np.int32)
+        for size in range(1, min(longest, stop - 1) + 1):
+            least = max(first, size)
+            h = span_hashes(prefix, inverse, at[:, least - size : stop - size].T, at[:, least:stop].T)
+            part = found[size, least - first :]
             if size == 1:
                 part[:] = m["n"]  # a character without a piece stands alone
             some = np.nonzero(m["seen"][h >> np.uint64(64 - SEEN_BITS)])
@@ -184,31 +198,34 @@ class Pieces(Units):
     def search(self, at: np.ndarray, prefix: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, bounds by word) of words given by the byte bounds of their characters, at[word, character].
 
-        Unknown characters have id n.
+        Unknown characters have id n. Pieces are looked up for a block of positions at a time, and sums are kept as far back as
+        a piece reaches; only the last piece at each position is kept for all.
         """
         m, (words, n) = self.m, (len(at), at.shape[1] - 1)
-        found = self.lookup(at, prefix, inverse)
-        longest, every = len(found) - 1, np.arange(words)
-        best = np.full((n + 1, words), -np.inf, np.float32)
+        longest, every = min(n, m["longest"]), np.arange(words)
+        best = np.full((longest + 1, words), -np.inf, np.float32)  # of position i in row i modulo its size
         best[0] = 0
-        last, back = np.full((n + 1, words), -1, np.int64), np.zeros((n + 1, words), np.int64)
-        for i in range(1, n + 1):
-            size = min(i, longest)
-            piece = found[1 : size + 1, i].astype(np.int64)
-            before = best[i - size : i][::-1]
-            s, w = np.nonzero((piece >= 0) & (before > -np.inf))
-            p, value = piece[s, w], before[s, w]
-            if m["kind"] == BPE:
-                inner = np.flatnonzero(i - 1 - s > 0)
-                ok = np.ones(len(s), bool)
-                ok[inner] = self.may_follow(last[i - 1 - s[inner], w[inner]], p[inner])
-                value = np.where(ok, value, -np.inf)
-            else:
-                value = value + m["score"][p]
-            values = np.full(piece.shape, -np.inf, np.float32)
-            values[s, w] = value
-            top = size - 1 - values[::-1].argmax(axis=0)  # of equal sums the longest last piece, as the library has it
-            best[i], last[i], back[i] = values[top, every], piece[top, every], top + 1
+        last, back = np.full((n + 1, words), -1, np.int32), np.zeros((n + 1, words), np.int16)
+        step = max(1, CELLS // (words * longest))
+        for first in range(1, n + 1, step):
+            found = self.lookup(at, first, min(first + step, n + 1), prefix, inverse)
+            for i in range(first, first + found.shape[1]):
+                size = min(i, longest)
+                piece = found[1 : size + 1, i - first]
+                before = best[(i - 1 - np.arange(size)) % len(best)]
+                s, w = np.nonzero((piece >= 0) & (before > -np.inf))
+                p, value = piece[s, w], before[s, w]
+                if m["kind"] == BPE:
+                    inner = np.flatnonzero(i - 1 - s > 0)
+                    ok = np.ones(len(s), bool)
+                    ok[inner] = self.may_follow(last[i - 1 - s[inner], w[inner]], p[inner])
+                    value = np.where(ok, value, -np.inf)
+                else:
+                    value = value + m["score"][p]
+                values = np.full(piece.shape, -np.inf, np.float32)
+                values[s, w] = value
+                top = size - 1 - values[::-1].argmax(axis=0)  # of equal sums the longest last piece, as the library has it
+                best[i % len(best)], last[i], back[i] = values[top, every], piece[top, every], top + 1
         steps, where = [], np.full(words, n)
         while (where > 0).any():
             live = where > 0
@@ -218,33 +235,50 @@ class Pieces(Units):
         kept = table >= 0
         return table[kept], np.concatenate([[0], np.cumsum(kept.sum(axis=1))])
 
-    def learn(self, units: list[str]) -> list:
-        new: list = [None] * len(units)
-        plain = []
-        for i, unit in enumerate(units):
-            if self.m["kind"] == BPE and ("  " in unit or len(unit) > 64):
-                # Runs of spaces have pieces of equal score, and long units are rare: both are merged one by one.
-                made = merge_long(unit.replace(" ", SPACE), self.m["scores"])
-                new[i] = self.with_bytes([(self.m["ids"].get(p, self.m["n"]), p) for p in made])
-            else:
-                plain.append(i)
+    def searched(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text, those of one length together."""
+        out: list = [None] * len(texts)
         by_size: dict[int, list[int]] = {}
-        for i in plain:
-            by_size.setdefault(len(units[i]), []).append(i)
+        for i, text in enumerate(texts):
+            by_size.setdefault(len(text), []).append(i)
         for size, members in by_size.items():
             step = max(1, CELLS // (size * min(size, self.m["longest"])))
             for a in range(0, len(members), step):
                 block = members[a : a + step]
-                raw = np.frombuffer("".join(units[i] for i in block).replace(" ", SPACE).encode(), np.uint8)
+                raw = np.frombuffer("".join([texts[i] for i in block]).encode(), np.uint8)
                 starts = np.flatnonzero((raw & 0xC0) != 0x80)
                 at = np.append(starts, len(raw))[np.arange(len(block))[:, None] * size + np.arange(size + 1)[None, :]]
                 ids, bounds = self.search(at, prefix_hashes(raw), powers(len(raw) + 1, BASE_INVERSE))
-                lone = np.add.reduceat(ids == self.m["n"], bounds[:-1]) > 0
                 flat, cuts = ids.tolist(), bounds.tolist()
                 for k, i in enumerate(block):
-                    own = flat[cuts[k] : cuts[k + 1]]
-                    new[i] = self.spelt(units[i].replace(" ", SPACE), own) if lone[k] else own
-        return new
+                    out[i] = flat[cuts[k] : cuts[k + 1]]
+        return out
+
+    def joined(self, text: str) -> list[int]:
+        """The ids of a long text from windows of it."""
+        sizes, starts = self.m["sizes"], range(0, len(text) - OVERLAP, WINDOW - OVERLAP)
+        out, ends = [], []  # ids so far, and where each ends
+        for a, found in zip(starts, self.searched([text[a : a + WINDOW] for a in starts]), strict=True):
+            cuts = (a + np.cumsum([sizes[i] for i in found])).tolist()
+            if a:
+                place = {e: k for k, e in enumerate(cuts)}
+                k = bisect_left(ends, a + 1)
+                while k < len(ends) and not ((j := place.get(ends[k])) is not None and found[j] == out[k]):
+                    k += 1
+                if k == len(ends):
+                    return self.searched([text])[0]
+                del out[k:], ends[k:]
+                found, cuts = found[j:], cuts[j:]
+            out += found
+            ends += cuts
+        return out
+
+    def learn(self, units: list[str]) -> list:
+        texts = [u.replace(" ", SPACE) for u in units]
+        long = {i for i, t in enumerate(texts) if len(t) > WINDOW and self.m["kind"] == BPE}
+        short = iter(self.searched([t for i, t in enumerate(texts) if i not in long]))
+        new = [self.joined(t) if i in long else next(short) for i, t in enumerate(texts)]
+        return [self.spelt(t, ids) if self.m["n"] in ids else ids for t, ids in zip(texts, new, strict=True)]
 
     def spelt(self, text: str, ids: list[int]) -> list[int]:
         """Ids with each unknown character (id n) in its bytes."""
@@ -267,38 +301,10 @@ class Pieces(Units):
         return out
 
 
-def merge_long(text: str, scores: dict[str, float]) -> list[str]:
-    """merge() of texts of any length, with a queue: in time n log n."""
-    import heapq
-
-    piece, after, before = list(text), list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
-    queue = []
-
-    def meet(i: int) -> None:
-        j = after[i] if i >= 0 else len(piece)
-        if 0 <= i and j < len(piece) and (s := scores.get(piece[i] + piece[j])) is not None:
-            heapq.heappush(queue, (-s, i, piece[i], piece[j]))
-
-    for i in range(len(piece) - 1):
-        meet(i)
-    while queue:
-        _, i, a, b = heapq.heappop(queue)
-        j = after[i]
-        if piece[i] != a or j >= len(piece) or piece[j] != b:
-            continue
-        piece[i], piece[j] = a + b, ""
-        after[i] = after[j]
-        if after[i] < len(piece):
-            before[after[i]] = i
-        meet(before[i])
-        meet(i)
-    return [p for p in piece if p]
-
-
-def prepared(model: dict, text: str) -> str:
+def prepared(model: dict, text: bytes) -> bytes:
     """The text that is cut into units: the model's space mark is a space, and a space stands before any text."""
-    text = text.replace(SPACE, " ")
-    return " " + text if text and model["prefix"] else text
+    text = text.replace(SPACE.encode(), b" ")
+    return b" " + text if text and model["prefix"] else text
 
 
 def decode_flat(model: dict, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -320,30 +326,37 @@ def encode_texts(docs: DataFrame, model_path: str, with_ids: bool = True) -> Dat
 
     ids are those of the model file for the whole text; decoded is what they decode to, and round_trip tells whether it equals the
     text, as it does for each text without the model's space mark. ids_crc32: of the ids as little-endian uint32. A null or empty
-    text has no ids. Repeated rows get equal results. Columns of docs that are called like a result are replaced by it.
+    text has no ids. Repeated rows get equal results. Columns of docs that are called like a result are replaced by it. A text of
+    any length is encoded whole: memory grows with it by some 50 bytes a character, time in proportion, words without spaces
+    included (for unigram models these take a step for each character).
     """
     spark = bound_batches(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(load(model_path))
+    shared = spark.sparkContext.broadcast({"model": load(model_path)})
     results = ["n_tokens", "ids_crc32", "decoded_sha256", "round_trip", *(["ids"] if with_ids else [])]
     docs = docs.drop(*results)
     others = [c for c in docs.columns if c != "text"]
     schema = docs.select(*others, F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("ids_crc32"), F.lit("").alias("decoded_sha256"), F.lit(True).alias("round_trip"), *([F.expr("cast(array() as array<int>)").alias("ids")] if with_ids else [])).schema
 
     def run(batches):
-        encoder = Pieces(shared.value)
+        model = shared.value
+        encoder = model.setdefault("encoder", Pieces(model["model"]))  # the worker keeps what it has learnt for its next tasks
         for batch in batches:
-            column = batch.column("text").fill_null("")
-            sizes = pc.binary_length(column).to_numpy()
-            for a, b in chunks(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), 4 << 20):
-                texts = column.slice(a, b - a).to_pylist()
-                ids, bounds = encoder.encode([prepared(encoder.m, t) for t in texts])
-                shown = decode_flat(encoder.m, ids, bounds)
-                parts = [np.ascontiguousarray(ids[x:y], "<u4") for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                out = [batch.column(c).slice(a, b - a) for c in others]
-                out += [pa.array(np.diff(bounds), pa.int64()), pa.array([zlib.crc32(x) for x in parts], pa.int64()), pa.array([sha256(x).hexdigest() for x in shown]), pa.array([t.encode() == x for t, x in zip(texts, shown, strict=True)])]
-                if with_ids:
-                    out.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32))))
-                yield pa.RecordBatch.from_arrays(out, names=[*others, *results])
+            raw, offsets = utf8(batch.column("text"))
+            for first, stop in chunks(offsets, SEARCHED_BYTES):
+                texts = [raw[x:y].tobytes() for x, y in zip(offsets[first:stop], offsets[first + 1 : stop + 1], strict=True)]
+                numbers, cuts = encoder.numbers(*flat([prepared(encoder.m, t) for t in texts]))
+                for a, b in chunks(offsets[first : stop + 1] - offsets[first], BLOCK_BYTES):
+                    yield block(encoder, batch.slice(first + a, b - a), texts[a:b], numbers[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
+
+    def block(encoder, rows, texts, numbers, cuts):
+        ids, bounds = encoder.ids(numbers, cuts)
+        shown = decode_flat(encoder.m, ids, bounds)
+        parts = [np.ascontiguousarray(ids[x:y], "<u4") for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        out = [rows.column(c) for c in others]
+        out += [pa.array(np.diff(bounds), pa.int64()), pa.array([zlib.crc32(x) for x in parts], pa.int64()), pa.array([sha256(x).hexdigest() for x in shown]), pa.array([t == x for t, x in zip(texts, shown, strict=True)])]
+        if with_ids:
+            out.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32))))
+        return pa.RecordBatch.from_arrays(out, names=[*others, *results])
 
     return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
 

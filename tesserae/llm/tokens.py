@@ -1,7 +1,7 @@
 """Token files: every document's ids as one zstandard frame with a shared dictionary, an offset index and the dictionary's hash.
 
-A folder holds `dictionary` and `shard-<n>.tok`; shards follow each other in ascending doc_id (nulls first, equal ids by
-content). A shard is: MAGIC, the dictionary's SHA-256, the frames one after the other, the index (for each document: doc_id
+A folder holds `dictionary` and `shard-<n>.tok`; shards follow each other in ascending doc_id (nulls first, equal ids in the
+order they were read in, so that any number of them is dealt over shards). A shard is: MAGIC, the dictionary's SHA-256, the frames one after the other, the index (for each document: doc_id
 int64, null uint8, offset uint64, frame bytes uint32, ids uint32, array after array), then the index's offset and the number
 of documents as uint64. Ids are little-endian uint16 where the vocabulary fits, else uint32; the width stands after the hash.
 """
@@ -10,32 +10,34 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.files import locate, read_whole, write_whole
-from tesserae.llm.kernels import chunks
-from tesserae.llm.units import Units
+from tesserae.llm.kernels import chunks, utf8
+from tesserae.llm.units import Units, flat
 from tesserae.session import bound_batches, cut, new_path
 
 MAGIC = b"TESSTOK1"
 HEAD = len(MAGIC) + 32 + 1
-#: Bounds of the dictionary: its bytes, the documents it is trained on and the ids taken of each.
-DICTIONARY_BYTES, SAMPLE_DOCUMENTS, SAMPLE_IDS = 1 << 16, 2000, 4096
+#: Bounds of the dictionary: its bytes, and the documents that it is trained on and their characters. Documents are taken whole,
+#: in the order of their hashes; one that would exceed the characters isn't taken.
+DICTIONARY_BYTES, SAMPLE_DOCUMENTS, SAMPLE_CHARS = 1 << 16, 2000, 16 << 20
 INDEX = (("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4"))
 #: Unicode white space. Byte-level BPE starts a new word at each run of it, so what lies between two starts is encoded alone.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-ASCII_UNIT = re.compile(r"(?a)[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+WHITE = [chr(c) for c in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+SOLID = np.ones(256, bool)
+SOLID[[ord(c) for c in WHITE if c.isascii()]] = False
+#: The other ones in UTF-8, and which bytes begin one.
+WIDE_WHITE = np.array([[*c.encode(), 0][:3] for c in WHITE if not c.isascii()], np.uint8)
+LEADS = np.isin(np.arange(256), WIDE_WHITE[:, 0])
 
 
 def byte_letters() -> list[str]:
@@ -58,25 +60,46 @@ class Encoder(Units):
     the tokenizer's added tokens (<|endoftext|>), at which the library cuts before anything else.
     """
 
-    pattern, ascii_pattern = UNIT, ASCII_UNIT
+    most_units, most_bytes = 1_000_000, 16_000_000
 
     def __init__(self, model: bytes):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_buffer(model)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.known: dict[str, list[int]] = {}
         self.letters = str.maketrans(dict(enumerate(byte_letters())))
 
-    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if any(x in t for x in self.added)}
+    def solid(self, raw: np.ndarray) -> np.ndarray:
+        out = SOLID[raw]
+        at = np.flatnonzero(LEADS[raw])
+        second, third = raw[np.minimum(at + 1, len(raw) - 1)], raw[np.minimum(at + 2, len(raw) - 1)]
+        for a, b, c in WIDE_WHITE:
+            own = at[(raw[at] == a) & (second == b) & ((third == c) | (c == 0))]
+            for k in range(2 + bool(c)):
+                out[own + k] = False
+        return out
+
+    def encode_bytes(self, raw: np.ndarray, offsets: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, bounds by text) of texts in UTF-8."""
+        whole, data = {}, raw.tobytes()
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:  # a find across two texts sends the first through the library, with the same result
+                d = int(np.searchsorted(offsets, at, "right")) - 1
+                whole[d] = self.tokenizer.encode(data[offsets[d] : offsets[d + 1]].decode(), add_special_tokens=False).ids
+                at = data.find(token, int(offsets[d + 1]))
         if not whole:
-            return super().encode(texts, end)
-        ids, bounds = super().encode(["" if i in whole else t for i, t in enumerate(texts)], end)
+            return self.ids(*self.numbers(raw, offsets), end)
+        texts = [b"" if d in whole else data[offsets[d] : offsets[d + 1]] for d in range(len(offsets) - 1)]
+        ids, bounds = self.ids(*self.numbers(*flat(texts)), end)
         parts = [np.concatenate([np.array(whole.get(i, []), ids.dtype), ids[a:b]]) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(bounds.dtype)
 
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        return self.encode_bytes(*flat([t.encode() for t in texts]), end)
+
     def learn(self, units: list[str]) -> list:
         tokenize, letters, new, rest = self.tokenizer.model.tokenize, self.letters, [], []
         space = letters[32]
@@ -132,41 +155,59 @@ def codec(dictionary: bytes) -> dict:
     return {"dict_data": shared}
 
 
+def sample_texts(docs: DataFrame) -> list[str]:
+    """Whole texts of SAMPLE_DOCUMENTS documents and SAMPLE_CHARS characters at most, the least hashes of doc_id and text first."""
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("h"), F.length("text").alias("n")).distinct()
+    least = hashed.orderBy("h").limit(SAMPLE_DOCUMENTS).collect()
+    chosen, room = [], SAMPLE_CHARS
+    for r in least:
+        if r.n <= room:
+            chosen.append((r.h,))
+            room -= r.n
+    picked = docs.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "h long")), "h", "left_semi")
+    return [r.text for r in picked.dropDuplicates(["h"]).orderBy("h").select("text").collect()]
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, shards: int | None = None) -> tuple[str, list[tuple[str, int, int, int]]]:
     """Encode docs(doc_id, text) and write token files; (folder, [(shard's URI, documents, ids, ids before it)] in order).
 
     A null text counts as empty and has the end id alone. Repeated rows are written as often as they occur; a null doc_id stands
-    first. An empty table gives a folder with the dictionary and no shard. Other columns are ignored.
+    first. An empty table gives a folder with the dictionary and no shard. Other columns are ignored. A text of any length is
+    encoded whole, as one frame; a worker holds it with its ids.
     """
     spark = bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     with open(tokenizer_path, "rb") as f:
         raw = f.read()
-    model = spark.sparkContext.broadcast(raw)
+    model = spark.sparkContext.broadcast({"model": raw})
     own = Encoder(raw)
     width = 2 if own.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
     kind = f"<u{width}"
-    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
-    sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", F.substring("text", 1, 2 * SAMPLE_IDS).alias("text")).orderBy("doc_id", "text").limit(SAMPLE_DOCUMENTS).collect()
-    trained = train_dictionary([own.encode([r.text], end_id)[0][:SAMPLE_IDS].astype(kind).tobytes() for r in sample])
+    trained = train_dictionary([own.encode([t], end_id)[0].astype(kind).tobytes() for t in sample_texts(docs)])
     folder = new_path(spark, "tokens")
     write_whole(f"{folder}/dictionary", trained)
     shared = spark.sparkContext.broadcast(trained)
 
     def encode(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder, packer = Encoder(model.value), zstandard.ZstdCompressor(level=LEVEL, **codec(shared.value))
+        known = model.value
+        if "encoder" not in known:  # the worker keeps what it has learnt for its next tasks
+            known["encoder"] = Encoder(known["model"])
+        encoder, packer, row = known["encoder"], zstandard.ZstdCompressor(level=LEVEL, **codec(shared.value)), TaskContext.get().partitionId() << 33
         for batch in batches:
-            sizes = pc.binary_length(batch.column("text")).to_numpy()
-            for a, b in chunks(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])):
-                ids, bounds = encoder.encode(batch.column("text").slice(a, b - a).to_pylist(), end_id)
+            raw_text, offsets = utf8(batch.column("text"))
+            for a, b in chunks(offsets):
+                ids, bounds = encoder.encode_bytes(raw_text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end_id)
                 ids = ids.astype(kind)
                 frames = [packer.compress(ids[x:y].tobytes()) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(bounds), pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "n", "frame"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(row + np.arange(b - a), pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "row", "n", "frame"])
+                row += b - a
 
-    frames = cut(docs.mapInArrow(encode, "doc_id long, n long, frame binary"), "frames")
+    frames = cut(docs.mapInArrow(encode, "doc_id long, row long, n long, frame binary"), "frames")
     count = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = frames.repartitionByRange(count, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "frame")
+    # The row's number splits documents of one id over shards, however many there are.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("row").asc()]
+    ordered = frames.repartitionByRange(count, *order).sortWithinPartitions(*order)
     digest = hashlib.sha256(trained).digest()
 
     def write(batches):

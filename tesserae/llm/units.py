@@ -1,62 +1,105 @@
-"""Encoding by remembered units: texts are cut where no token can cross, and each different unit is encoded once."""
+"""Encoding by remembered units: texts are cut where no token can cross, and each different unit is encoded once.
+
+Units are told apart by 64-bit hashes of their bytes. They are found, hashed and looked up as arrays; only new ones become strings.
+"""
 
 from __future__ import annotations
 
-import re
 from itertools import chain
 
 import numpy as np
 
-#: Units and their characters that are remembered at most; beyond, all are forgotten.
-CACHE_UNITS, CACHE_CHARS = 600_000, 8_000_000
+from tesserae.llm.kernels import BASE_INVERSE, powers, prefix_hashes, span_hashes
+
 
+class Units:
+    """What is known of units. A subclass tells white space from other bytes, and encodes new units with `learn`.
 
-class Units(dict):
-    """Unit to number. A subclass gives the patterns that find the units, and `learn`, which encodes new ones."""
+    A unit is a run of white space and the run of other bytes behind it; white space at a text's end is one of its own.
+    """
 
-    pattern: re.Pattern
-    #: The same for texts of ASCII alone, where it can be simpler.
-    ascii_pattern: re.Pattern
+    #: Units and their bytes that are remembered; beyond, the half of them that was used most stays.
+    most_units, most_bytes = 500_000, 8_000_000
 
     def __init__(self):
-        self.forget()
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, and the number of each
+        self.pool, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)  # ids by number
+        self.uses, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def solid(self, raw: np.ndarray) -> np.ndarray:
+        """Whether each byte is none of white space."""
+        raise NotImplementedError
 
     def learn(self, units: list[str]) -> list:
         """The ids of each unit."""
         raise NotImplementedError
 
-    def forget(self) -> None:
-        self.clear()
-        self.pending, self.chars = [], 0
-        self.pool, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def __missing__(self, unit: str) -> int:
-        self[unit] = at = len(self)
-        self.pending.append(unit)
-        self.chars += len(unit)
-        return at
+    def thin(self) -> None:
+        """Forget units that were used once, and of the others all but the most used half of what may be held."""
+        order = np.argsort(-self.uses, kind="stable")[: self.most_units // 2]
+        order = order[self.uses[order] > 1]
+        kept = order[np.cumsum(self.lengths[order]) <= self.most_bytes // 2]
+        renamed = np.full(len(self), -1, np.int32)
+        renamed[kept] = np.arange(len(kept))
+        stays = renamed[self.places] >= 0
+        self.keys, self.places = self.keys[stays], renamed[self.places[stays]]
+        starts, self.sizes = self.starts[kept], self.sizes[kept]
+        self.starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        self.pool = self.pool[np.repeat(starts - self.starts, self.sizes) + np.arange(int(self.sizes.sum()))]
+        self.uses, self.lengths = self.uses[kept] // 2, self.lengths[kept]
 
-    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, bounds by text); each text's ids are followed by `end`, if given."""
-        if len(self) > CACHE_UNITS or self.chars > CACHE_CHARS:
-            self.forget()
-        at = []
-        for text in texts:
-            found = (self.ascii_pattern if text.isascii() else self.pattern).findall(text)
-            at.append(np.fromiter(map(self.__getitem__, found), np.int64, len(found)))
-        if self.pending:
-            new = self.learn(self.pending)
-            sizes = np.fromiter(map(len, new), np.int64, len(new))
-            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+    def numbers(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the numbers of all units, bounds by text) of texts in UTF-8; new units are learnt. Valid until the next call."""
+        if len(self) > self.most_units or int(self.lengths.sum()) > self.most_bytes:
+            self.thin()
+        if not len(raw):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        ends = self.solid(raw)
+        ends[:-1] &= ~ends[1:]
+        ends[np.unique(offsets[1:][offsets[1:] > 0]) - 1] = True
+        # A run that goes on in the next text ends there as well; the line above has set that.
+        ends = np.flatnonzero(ends) + 1
+        starts = np.concatenate([[0], ends[:-1]])
+        h = span_hashes(prefix_hashes(raw), powers(len(raw) + 1, BASE_INVERSE), starts, ends)
+        own, first, back = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, own)
+        known = np.zeros(len(own), bool)
+        known[at < len(self)] = self.keys[at[at < len(self)]] == own[at < len(self)]
+        number = np.zeros(len(own), np.int32)
+        number[known] = self.places[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            whole, spans = raw.tobytes(), zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
+            found = self.learn([whole[a:b].decode() for a, b in spans])
+            number[new] = len(self) + np.arange(len(new))
+            self.keys, self.places = np.insert(self.keys, at[new], own[new]), np.insert(self.places, at[new], number[new])
+            sizes = np.fromiter(map(len, found), np.int32, len(found))
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes, dtype=np.int64) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(new), np.uint32, int(sizes.sum()))])
-            self.pending = []
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+            self.lengths = np.concatenate([self.lengths, (ends - starts)[first[new]].astype(np.int32)])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        self.uses[number] += np.bincount(back, minlength=len(own))
+        return number[back], np.searchsorted(starts, offsets)
+
+    def ids(self, numbers: np.ndarray, bounds: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, bounds by text) from their units; each text's ids are followed by `end`, if given."""
         starts, sizes, pool = self.starts, self.sizes, self.pool
         if end is not None:  # one more unit, of the end id alone
+            numbers, bounds = np.insert(numbers, bounds[1:], len(starts)), bounds + np.arange(len(bounds))
             starts, sizes, pool = np.append(starts, len(pool)), np.append(sizes, 1), np.append(pool, np.uint32(end))
-            at = [np.append(a, len(starts) - 1) for a in at]
-        flat = np.concatenate([np.zeros(0, np.int64), *at])
-        n = sizes[flat]
-        total = np.concatenate([[0], np.cumsum(n)])
-        bounds = total[np.concatenate([[0], np.cumsum([len(a) for a in at])]).astype(np.int64)]
-        return pool[np.repeat(starts[flat] - total[:-1], n) + np.arange(int(total[-1]))], bounds
+        n = sizes[numbers]
+        total = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        return pool[np.repeat(starts[numbers] - total[:-1], n) + np.arange(int(total[-1]))], total[bounds]
+
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """ids() of texts."""
+        return self.ids(*self.numbers(*flat([t.encode() for t in texts])), end)
+
+
+def flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of texts."""
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]).astype(np.int64)

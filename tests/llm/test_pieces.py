@@ -1,4 +1,5 @@
 import random
+import re
 
 import public_tokenizers
 import pytest
@@ -17,7 +18,7 @@ ENCODER = P.Pieces(MODEL)
 
 
 def ours(encoder, texts):
-    ids, bounds = encoder.encode([P.prepared(encoder.m, t) for t in texts])
+    ids, bounds = encoder.encode([P.prepared(encoder.m, t.encode()).decode() for t in texts])
     return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
@@ -32,6 +33,33 @@ def test_documents_are_the_librarys(spark):
     assert ours(ENCODER, texts) == LIBRARY.encode(texts)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([" ", "a", "ab", "the", "é", "中文", "aab", "x1", "lesson", "\n"]), st.integers(1, 400)), max_size=6))
+def test_long_units_and_runs_of_spaces_are_the_librarys(parts):
+    text = "".join(x * n for x, n in parts)
+    assert ours(ENCODER, [text]) == LIBRARY.encode([text])
+
+
+def test_windows_that_share_no_piece(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("thenoisr") for _ in range(n)) for n in (257, 700, 5000)]
+    assert ours(P.Pieces(MODEL), texts) == LIBRARY.encode(texts)
+    monkeypatch.setattr(P, "OVERLAP", 1)
+    assert ours(P.Pieces(MODEL), texts) == LIBRARY.encode(texts)
+    monkeypatch.setattr(P, "CELLS", 1 << 9)  # blocks of a few positions
+    assert ours(P.Pieces(MODEL), texts) == LIBRARY.encode(texts)
+
+
+def test_forgotten_units_are_found_again(spark, monkeypatch):
+    monkeypatch.setattr(P.Pieces, "most_units", 50)
+    monkeypatch.setattr(P.Pieces, "most_bytes", 300)
+    encoder = P.Pieces(MODEL)
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect():
+        assert ours(encoder, [r.text]) == [LIBRARY.encode(r.text)]
+    encoder.thin()
+    assert 0 < len(encoder) <= 25 and encoder.lengths.sum() <= 150
+
+
 def test_unigram_is_the_librarys(spark):
     """The same pieces as a unigram model: the library then searches for the greatest sum of scores, too."""
     model = pb.ModelProto()
@@ -45,7 +73,7 @@ def test_unigram_is_the_librarys(spark):
     encoder = P.Pieces(P.build([(p.piece, p.score, p.type) for p in model.pieces], P.UNIGRAM, True, 0))
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(30).collect()]
     # Unit by unit: over a whole text the library's single-precision sum rounds, and paths of equal score may change places.
-    units = sorted({u[1:] for t in texts for u in encoder.pattern.findall(P.prepared(encoder.m, t)) if u[0] == " "})
+    units = sorted({u[1:] for t in texts for u in re.findall(" *[^ ]+| +", " " + t) if u[0] == " "})
     assert ours(encoder, units) == library.encode(units)
 
 

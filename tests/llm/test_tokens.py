@@ -15,8 +15,12 @@ with open(PATH, "rb") as f:
     ENCODER = T.Encoder(f.read())
 
 
+FRESH = Tokenizer.from_file(PATH)
+
+
 def library(text):
-    return [*ENCODER.tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+    """By a tokenizer of its own, as the file has it."""
+    return [*FRESH.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 @settings(max_examples=300, deadline=None)
@@ -52,6 +56,23 @@ def test_empty_table_and_wrong_dictionary(spark, docs):
         T._open(shards[0][0], b"another dictionary")
 
 
+def test_many_rows_of_one_id_are_dealt_over_shards(spark, docs):
+    texts = [f"text {i}" for i in range(400)] + ["same"] * 400
+    folder, shards = T.write_token_files(docs(texts, [7] * 800), PATH, 0, shards=4)
+    assert len(shards) == 4 and max(n for _, n, _, _ in shards) < 400
+    rows = T.read_token_files(spark, folder, shards, with_ids=True).orderBy("start").collect()
+    assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
+    assert sorted(r.ids for r in rows) == sorted(library(t) for t in texts)
+
+
+def test_the_dictionary_learns_from_whole_texts(spark, docs, monkeypatch):
+    texts = ["a" * 5000, "b" * 20, None, "b" * 20, "c" * 40]
+    whole = T.sample_texts(docs(texts, [1, 2, 3, 2, 4]).fillna("", ["text"]))
+    assert sorted(whole) == ["", "a" * 5000, "b" * 20, "c" * 40]
+    monkeypatch.setattr(T, "SAMPLE_CHARS", 60)
+    assert sorted(T.sample_texts(docs(texts, [1, 2, 3, 2, 4]).fillna("", ["text"]))) == ["", "b" * 20, "c" * 40]
+
+
 def test_vocabulary_is_read_by_the_library():
     assert Tokenizer.from_file(PATH).get_vocab_size() == 50257
 
