@@ -1,53 +1,121 @@
-"""N-gram language-model scores from a log-frequency Bloom filter.
+"""N-gram language-model scores from log-frequency Bloom filters.
 
-Training counts every word and word pair of the training documents (`counting`). A count c is kept as its quantised logarithm
-q(c) = 1 + floor(log c / log STEP): the filter holds (n-gram, 1) .. (n-gram, q). A scorer probes level after level until one
-is missing, and takes the middle of the last level found for the count. The filter has PER_EVENT bits or more for each level held,
-so it grows with the input. Each region of it is a file in the shared folder. A worker holds neighbouring regions of `filter_bytes`
-together (one region at least): a filter within that is read once a worker, a larger one stretch by stretch for every HELD tokens.
+Documents go in chunks of HELD tokens. A chunk counts its words, pairs and triples of neighbouring words, cuts the sorted keys by
+their top bits into regions and sends each region its part, with the counts of training documents (none for held-out ones). A
+region's task adds the counts, keeps them in Bloom filters and answers every chunk's keys by probing those. So a filter grows with
+the input and no worker ever holds more than one region of it: it is dealt over the workers, as nothing bounds it for a broadcast.
 
-The probability is that of a Dirichlet prior: P(w | v) = (c(vw) + kappa * P(w)) / (c(v) + kappa), with
-P(w) = (c(w) + 1) / (N + V + 1). Every document is scored for each of KAPPAS; the kappa taken is the one that maximises the
-likelihood of all training documents, each scored by the counts without those that it brought itself.
+A count c is kept as its quantised logarithm: the place L of its highest bit, and the MANTISSA bits behind that one. The filter
+holds the events (n-gram, 0) .. (n-gram, L) and one for each of the bits behind that is 1; counts under 2 ** (MANTISSA + 1) come back
+exactly, greater ones to a part in 2 ** (MANTISSA + 1). A probe asks level after level until one is missing, then for the bits. An
+event sets BITS bits in each of several 64-bit words; their number grows with the logarithm of the vocabulary, so that over all words
+false positives add less to a context than a hundredth of one occurrence (`visits_for`).
 
-The base score needs every word's exact count. The most frequent words (a LISTED_SHARE of the distinct ones, `listed` at most)
-are broadcast; all others go as (row, word) through a join with the table of counts. A listed word is never in that join, so no key of it is hot.
+Probabilities are smoothed towards the next lower order, and those of a context add up to 1 over all words and the unknown one:
+
+    P(w)     = (c(w) + 1) / (C + V + 1)                         C: sum of c(w) over the V words
+    P(w|v)   = (c(vw) + k2 * P(w)) / (c(v) + k2)
+    P(w|uv)  = (c(uvw) + k3 * P(w|v)) / (c(uv) + k3)            the first token of a document takes P(w|v), v being an end
+
+An n-gram never counts more than those within it. k2 and k3 are those of KAPPAS2 and KAPPAS3 that give all training documents the
+greatest likelihood, each token scored by counts that are less by its own occurrence.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.counting import bit_places, by_region, emit_counts, filter_words, region_bits
+from tesserae.llm.counting import region_bits
 from tesserae.llm.files import read_whole, write_whole
-from tesserae.llm.kernels import chunks, hash_bytes, mix, pack_counts, unpack_counts, utf8, word_hashes
+from tesserae.llm.kernels import chunks, hash_bytes, mix, pack_counts, planes, sum_by_key, unpack_counts, unplanes, utf8, word_hashes
 from tesserae.session import bound_batches, cut, new_path
 
-STEP = 1.5
-PER_EVENT, PROBES = 10.0, 4
-FILTER_BYTES, LISTED, LISTED_SHARE = 64 << 20, 1 << 21, 0.25
-#: Tokens that a task scores at once where the filter comes in several stretches.
-HELD = 1 << 19
-PAIR_MASK = 0xFFFFFFFFFFFF0000
+MANTISSA, BITS = 6, 4
+#: Tokens of a chunk; a document is never divided.
+HELD = 3 << 19
+KAPPAS2, KAPPAS3 = (4.0, 32.0, 256.0, 2048.0), (2.0, 16.0, 128.0, 1024.0)
+PAIRS = [(a, b) for a in KAPPAS2 for b in KAPPAS3]
 END = hash_bytes(b"\n")
-KAPPAS = tuple(4.0**i for i in range(12))
-WORDS, PAIRS = 0, 1
+ODD, GOLDEN, WHOLE = 0xD1B54A32D192ED03, 0x9E3779B97F4A7C15, (1 << 64) - 1
+#: Bits of a key by order: two pairs or triples agree by chance far less often than a filter errs.
+MASKS = (0xFFFFFFFFFFFFFFFF, 0xFFFFFFFFFFFFFF00, 0xFFFFFFFFFFFF0000)
+
+
+def codes_of(counts: np.ndarray) -> np.ndarray:
+    """The quantised logarithm of counts of 1 and more, as one number: 1 + L * 2 ** MANTISSA + the bits behind the highest."""
+    part, power = np.frexp(counts.astype(np.float64))
+    return 1 + ((power - 1).astype(np.int64) << MANTISSA) + np.floor(part * (2 << MANTISSA)).astype(np.int64) - (1 << MANTISSA)
+
 
+def value_of(codes: np.ndarray) -> np.ndarray:
+    """The count taken for a code: the mean of the integers that have it; 0 for 0."""
+    codes = codes.astype(np.int64)
+    level, bits = np.maximum(codes - 1, 0) >> MANTISSA, np.maximum(codes - 1, 0) & ((1 << MANTISSA) - 1)
+    unit = np.exp2(level - MANTISSA)
+    low = np.ceil(((1 << MANTISSA) + bits) * unit)
+    high = np.maximum(np.ceil(((1 << MANTISSA) + bits + 1) * unit) - 1, low)
+    return np.where(codes > 0, (low + high) / 2, 0.0)
 
-def quantised(counts: np.ndarray) -> np.ndarray:
-    """q(c) for counts of 1 and more."""
-    return 1 + np.floor(np.log(counts.astype(np.float64)) / np.log(STEP) + 1e-9).astype(np.int64)
 
+def visits_for(vocabulary: int) -> int:
+    """64-bit words that an event has: each lets one in 50 others or less pass, where a third of the bits is set."""
+    return max(3, int(np.ceil(np.log(100.0 * max(vocabulary, 1)) / np.log(50.0))))
 
-def middle(levels: np.ndarray) -> np.ndarray:
-    """The count taken for a level: 0 for none, else the mean of the integers in it."""
-    low = np.ceil(STEP ** (np.maximum(levels, 1) - 1.0) - 1e-9)
-    high = np.maximum(np.ceil(STEP ** np.maximum(levels, 1).astype(float) - 1e-9) - 1, low)
-    return np.where(levels > 0, (low + high) / 2, 0.0)
+
+def _event(keys: np.ndarray, which: int) -> np.ndarray:
+    return mix(keys + np.uint64((which + 1) * ODD & WHOLE))
+
+
+def _places(events: np.ndarray, visit: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of each event at a visit, and its bits there."""
+    h = mix(events + np.uint64(visit * GOLDEN & WHOLE))
+    mask = np.zeros(len(h), np.uint64)
+    for j in range(BITS):
+        mask |= np.uint64(1) << (h >> np.uint64(6 * j) & np.uint64(63))
+    return (h >> np.uint64(32)) * np.uint64(words) >> np.uint64(32), mask
+
+
+def build_filter(keys: np.ndarray, codes: np.ndarray, visits: int) -> np.ndarray:
+    """The filter of these n-grams: 10 bits for each event and visit."""
+    level, bits = (codes - 1) >> MANTISSA, (codes - 1) & ((1 << MANTISSA) - 1)
+    events = [_event(keys[level >= i], i) for i in range(int(level.max(initial=-1)) + 1)]
+    events += [_event(keys[bits >> j & 1 == 1], 64 + j) for j in range(MANTISSA)]
+    out = np.zeros(max(8, int(np.ceil(sum(map(len, events)) * visits * 10 / 64))), np.uint64)
+    for e in events:
+        for v in range(visits):
+            at, mask = _places(e, v, len(out))
+            np.bitwise_or.at(out, at, mask)
+    return out
+
+
+def probe(held: np.ndarray, keys: np.ndarray, visits: int) -> np.ndarray:
+    """The code of each key that the filter holds, 0 where its first event is missing."""
+
+    def has(rows: np.ndarray, which: int) -> np.ndarray:
+        events = _event(keys[rows], which)
+        for v in range(visits):
+            at, mask = _places(events, v, len(held))
+            there = (held[at] & mask) == mask
+            rows, events = rows[there], events[there]
+        return rows
+
+    level = np.full(len(keys), -1, np.int64)
+    alive, i = np.arange(len(keys)), 0
+    while len(alive := has(alive, i)):
+        level[alive] = i
+        i += 1
+    codes = np.where(level >= 0, 1 + (np.maximum(level, 0) << MANTISSA), 0)
+    for j in range(MANTISSA):  # a count of L + 1 bits has no more than L behind its highest
+        rows = has(np.flatnonzero(level >= MANTISSA - j), 64 + j)
+        codes[rows] += 1 << j
+    return codes
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,211 +128,179 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, np.repeat(np.arange(n_docs), sizes)
 
 
-def pair_keys(t: np.ndarray) -> np.ndarray:
-    """Key of each token with the one before it; before a document's first token stands an end."""
-    before = np.concatenate([np.array([END], np.uint64), t[:-1]])
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) + mix(t)) & np.uint64(PAIR_MASK)
-
-
-def event(keys: np.ndarray, level: int, kind) -> np.ndarray:
-    return keys + (np.atleast_1d(np.asarray(kind, np.uint64)) + np.uint64(2 * level)) * np.uint64(0xD1B54A32D192ED03)
-
-
-def stretches(sizes: np.ndarray, filter_bytes: int) -> list[tuple[int, int]]:
-    """Neighbouring regions, as (first, last + 1), of `filter_bytes` together at most or one alone."""
-    out, a, held = [], 0, 0
-    for r, size in enumerate(sizes.tolist()):
-        if r > a and (held + size) * 8 > filter_bytes:
-            out.append((a, r))
-            a, held = r, 0
-        held += size
-    return [*out, (a, len(sizes))]
-
-
-def hold(model: dict, a: int, b: int) -> np.ndarray:
-    """The filters of regions a to b - 1, one after the other; the last ones read stay in the model."""
-    if model["held"] is None or model["held"][0] != (a, b):
-        model["held"] = None  # room for the next ones
-        words = np.zeros(int(model["words"][a:b].sum()), np.uint64)
-        at = 0
-        for r in range(a, b):
-            if n := int(model["words"][r]):
-                words[at : at + n] = np.frombuffer(read_whole(f"{model['folder']}/{r}"), np.uint64)
-                at += n
-        model["held"] = (a, b), words
-    return model["held"][1]
-
-
-def probe_levels(model: dict, kind, keys: np.ndarray) -> np.ndarray:
-    """The highest level held of each key: 0 where the first one is missing. kind: of all keys or of each."""
-    out = np.zeros(len(keys), np.int64)
-    kind = np.broadcast_to(np.asarray(kind, np.uint64), keys.shape)
-    region = (keys >> np.uint64(64 - model["bits"])).astype(np.int64)
-    words = model["words"][region]
-    for a, b in model["stretches"]:
-        alive = np.flatnonzero((words > 0) & (region >= a) & (region < b)) if len(model["stretches"]) > 1 else np.flatnonzero(words > 0)
-        if not len(alive):
-            continue
-        held, start, level = hold(model, a, b), model["start"] - model["start"][a], 1
-        while len(alive):
-            at, mask = bit_places(event(keys[alive], level, kind[alive]), 1 << 31, PROBES)
-            alive = alive[(held[at.astype(np.int64) % words[alive] + start[region[alive]]] & mask) == mask]
-            out[alive] = level
-            level += 1
-    return out
+def pair_keys(before: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(GOLDEN) + mix(t)) & np.uint64(MASKS[1])
+
+
+def triple_keys(first: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    return mix(first * np.uint64(0xC2B2AE3D27D4EB4F) + pairs) & np.uint64(MASKS[2])
+
+
+def keys_of(t: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+    """The keys of the word, the pair and the triple that end at each token; before a document's first token stand ends."""
+    before = np.concatenate([np.array([END], np.uint64), t[:-1]])  # the last token of the document before is an end
+    second = np.concatenate([np.array([END], np.uint64), before[:-1]])
+    second[np.diff(doc, prepend=-1) > 0] = END
+    pairs = pair_keys(before, t)
+    return [t, pairs, triple_keys(second, pairs)]
 
 
-def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, listed: int = LISTED) -> tuple[dict, DataFrame]:
-    """(the model, the table of exact word counts) from docs(text).
+def smoothed(c1, before, c2, pair, c3, total: float, k2: float, k3: float, first=False) -> np.ndarray:
+    """P(w|uv), P(w|v) where `first`, from the counts of w, v, vw, uv and uvw; total is C + V + 1."""
+    lower = (c2 + k2 * ((c1 + 1) / total)) / (before + k2)
+    return np.where(first, lower, (c3 + k3 * lower) / (pair + k3))
 
-    The table has a row for each region of the key space with a packed blob. The model is a dictionary with the filter's folder
-    and arrays of bounded size: 16 bytes for each of `listed` words. What a worker reads of the filter is held in it, too.
+
+def likelihoods(counts: list[np.ndarray], doc: np.ndarray, held_out: np.ndarray, total: float) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 P of each document, of all training tokens less their own occurrence), a column for each of PAIRS.
+
+    counts: of the word, pair and triple that end at each token; held_out: of each document.
     """
-    spark = docs.sparkSession
-    bits = region_bits(spark)
-    most_listed = max(1, listed >> bits)
-    folder = new_path(spark, "filter")
-
-    def count(kind, key_of):
-        def run(batches):
-            def parts():
-                for batch in batches:
-                    raw, offsets = utf8(batch.column("text"))
-                    for a, b in chunks(offsets):
-                        yield key_of(tokens(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0])
-
-            return emit_counts(parts(), bits, kind)
-
-        return docs.select("text").mapInArrow(run, "kind int, region int, blob binary")
-
-    def words_of(_, region, keys, counts):
-        return pa.table({"region": pa.array([region], pa.int32()), "total": pa.array([int(counts.sum())], pa.int64()), "distinct": pa.array([len(keys)], pa.int64()), "blob": pa.array([pack_counts(keys, counts)], pa.binary())})
-
-    def pairs_of(_, region, keys, counts):
-        return pa.table({"region": pa.array([region], pa.int32()), "blob": pa.array([pack_counts(keys, counts)], pa.binary())})
-
-    words = cut(by_region(count(WORDS, lambda t: t), words_of, "region int, total long, distinct long, blob binary"), "words")
-    pairs = by_region(count(PAIRS, pair_keys), pairs_of, "region int, blob binary")
-    n, v = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-
-    def build(table: pa.Table) -> pa.Table:
-        """Write one region's part of the filter; its size and the most frequent words."""
-        keys, levels, kinds = [], [], []
-        top_keys = top_counts = np.zeros(0, np.uint64)
-        for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
-            k, c = unpack_counts(blob)
-            keys.append(k), levels.append(quantised(c)), kinds.append(kind)
-            if kind == WORDS:
-                least = 1
-                while int((c >= least).sum()) > min(most_listed, int(LISTED_SHARE * len(c))):
-                    least += max(1, least // 8)
-                top_keys, top_counts = k[c >= least], c[c >= least]
-        size = filter_words(sum(int(q.sum()) for q in levels), PER_EVENT)
-        out = np.zeros(size, np.uint64)
-        for k, q, kind in zip(keys, levels, kinds, strict=True):
-            for level in range(1, int(q.max(initial=0)) + 1):
-                at, mask = bit_places(event(k[q >= level], level, kind), 1 << 31, PROBES)
-                np.bitwise_or.at(out, at.astype(np.int64) % size, mask)
-        region = table.column("region")[0].as_py()
-        write_whole(f"{folder}/{region}", out.tobytes())
-        return pa.table({"region": pa.array([region], pa.int32()), "words": pa.array([size], pa.int64()), "keys": [top_keys.tobytes()], "counts": [top_counts.tobytes()]})
-
-    both = words.select("region", F.lit(WORDS).alias("kind"), "blob").unionByName(pairs.select("region", F.lit(PAIRS).alias("kind"), "blob"))
-    built = cut(both.groupBy("region").applyInArrow(build, "region int, words long, keys binary, counts binary"), "filter")
-    # Read one partition at a time: the driver holds the list once, and no more than a partition besides.
-    sizes, parts = np.zeros(1 << bits, np.int64), {}
-    for r in built.toLocalIterator():
-        sizes[r.region], parts[r.region] = r.words, [np.frombuffer(x, np.uint64) for x in (r["keys"], r["counts"])]
-    joined = lambda: np.concatenate([np.zeros(0, np.uint64), *(parts[r].pop(0) for r in sorted(parts))])  # noqa: E731  keys, then counts
-    model = {"bits": bits, "folder": folder, "words": sizes, "start": np.cumsum(sizes) - sizes, "stretches": stretches(sizes, filter_bytes), "held": None, "keys": joined(), "counts": joined(), "n": int(n), "v": int(v)}
-    return model, words
-
-
-def times_in(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """How often each key occurs in its own document."""
-    _, place, n = np.unique(mix(keys + mix(doc.astype(np.uint64))), return_inverse=True, return_counts=True)
-    return n[place]
-
-
-def likelihoods(model: dict, t: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 P, the same without a document's own counts) of each document of tokens(), a column for each of KAPPAS."""
-    own, place = np.unique(t, return_inverse=True)
-    pairs = pair_keys(t)
-    counts = middle(probe_levels(model, np.repeat([WORDS, PAIRS], [len(own), len(pairs)]), np.concatenate([own, pairs])))
-    single, pair = counts[place], counts[len(own) :]
-    first = np.flatnonzero(np.diff(doc, prepend=-1))
-    mine = times_in(t, doc)
-
-    def sums(single, before, pair):
-        pair = np.minimum(pair, np.minimum(single, before))
-        alone = np.minimum((single + 1) / (model["n"] + model["v"] + 1), 1.0)
-        return np.stack([np.add.reduceat(np.log10((pair + kappa * alone) / (before + kappa)), first) for kappa in KAPPAS], axis=1)
-
-    # The last token is an end, as is the one before the first. So a token's place before another is its place shifted by one.
-    before = np.roll(single, 1)
-    left = np.maximum(single - mine, 0)
-    return sums(single, before, pair), sums(left, np.maximum(before - np.roll(mine, 1), 0), np.maximum(np.minimum(pair, np.minimum(single, before)) - times_in(pairs, doc), 0))
-
-
-def score_texts(docs: DataFrame, is_held_out, filter_bytes: int = FILTER_BYTES, listed: int = LISTED) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs(doc_id, text).
+    new = np.diff(doc, prepend=-1) > 0
+    c1, before = counts[0], np.roll(counts[0], 1)
+    c2 = np.minimum(counts[1], np.minimum(c1, before))
+    pair = np.roll(c2, 1)
+    c3 = np.minimum(counts[2], np.minimum(c2, pair))
+    # Up to 12 neighbours are multiplied before the logarithm is taken: none is under 1e-25.
+    place = np.arange(len(doc)) - np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+    parts = np.flatnonzero(place % 12 == 0)
+    of = np.searchsorted(parts, np.flatnonzero(new))
+    logs = lambda p: np.add.reduceat(np.log10(np.multiply.reduceat(p, parts)), of)
+    scores = np.stack([logs(smoothed(c1, before, c2, pair, c3, total, a, b, new)) for a, b in PAIRS], axis=1)
+    less = [np.maximum(x - 1, 0) for x in (c1, before, c2, pair, c3)]
+    apart = np.array([logs(smoothed(*less, total, a, b, new))[~held_out].sum() for a, b in PAIRS])
+    return scores, apart
 
-    is_held_out: a column over docs; the model learns from rows where it is false. A null text counts as empty: one end and
-    nothing else. Repeated rows are trained on and scored as often as they occur. Without training rows every count is 0.
-    Other columns are ignored.
+
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(planes(x))
+
+
+def _unpacked(blob: bytes, dtype) -> np.ndarray:
+    return unplanes(zstandard.ZstdDecompressor().decompress(blob), dtype)
+
+
+def _chunk_parts(docs: DataFrame, bits: int, folder: str) -> DataFrame:
+    """(region, chunk, n1, n2, n3): each chunk's keys with training counts by region; the chunk itself goes to a file of `folder`.
+
+    Files are named by task and number: a task that runs again writes the same ones.
     """
-    bound_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(is_held_out, F.lit(False)).alias("held_out"))
-    model, words = train(docs.where(~F.col("held_out")), filter_bytes, listed)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m, task, row = shared.value, TaskContext.get().partitionId(), 0
-        most, held = HELD if len(m["stretches"]) > 1 else 0, []
-
-        def score():
-            """The held documents' rows."""
-            nonlocal row
-            t, sizes = np.concatenate([x for x, _, _ in held]), np.concatenate([x for _, x, _ in held])
-            ids = pa.Table.from_batches([x for _, _, x in held]).combine_chunks()
-            held.clear()
-            first = np.cumsum(sizes) - sizes
-            at = np.minimum(np.searchsorted(m["keys"], t), max(len(m["keys"]) - 1, 0))
-            known = m["keys"][at] == t if len(m["keys"]) else np.zeros(len(t), bool)
-            counts = np.where(known, m["counts"][at] if len(m["keys"]) else 0, 0)
-            rest = np.flatnonzero(~known)
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, [*first, len(t)]), pa.int32()), pa.array(t[rest].view(np.int64)))
-            sums = lambda x: np.add.reduceat(x, first)  # noqa: E731  every document has its end
-            by_kappa = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(KAPPAS)).cast(pa.list_(pa.float64())) for x in likelihoods(m, t, np.repeat(np.arange(len(sizes)), sizes))]
-            out = pa.RecordBatch.from_arrays([pa.array((task << 33) + row + np.arange(len(sizes)), pa.int64()), *(pa.concat_arrays(x.chunks) for x in ids.columns), pa.array(sizes, pa.int64()), pa.array(sums(known.astype(np.int64)), pa.int64()), pa.array(sums(np.log10(counts + 1.0)), pa.float64()), *by_kappa, lists], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "scores", "apart", "rest"])
-            row += len(sizes)
-            return out
+        number, held, n = TaskContext.get().partitionId() << 24, [], 0
+
+        def send():
+            nonlocal number, held, n
+            whole = pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_file(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(whole)
+            write_whole(f"{folder}/{number}", sink.getvalue())
+            t, doc = tokens(*utf8(whole.column("text")))
+            learnt = ~whole.column("held_out").to_numpy()[doc]
+            columns = {}
+            for i, keys in enumerate(keys_of(t, doc), 1):
+                order = np.argsort(keys)
+                own = keys[order]
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                own, counts = own[first], np.add.reduceat(learnt[order].astype(np.uint64), first)
+                cuts = np.concatenate([[0], np.searchsorted(own, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), [len(own)]])
+                columns[f"n{i}"] = [pack_counts(own[a:b], counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            regions = 1 << bits
+            for a in range(0, regions, 512):
+                rows = {"region": pa.array(range(a, min(a + 512, regions)), pa.int32()), "chunk": pa.array([number] * (min(a + 512, regions) - a), pa.int64())}
+                yield pa.RecordBatch.from_pydict(rows | {k: pa.array(v[a : a + 512], pa.binary()) for k, v in columns.items()})
+            number += 1
 
         for batch in batches:
-            raw, offsets = utf8(batch.column("text"))
-            for a, b in chunks(offsets):
-                t, doc = tokens(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                held.append((t, np.bincount(doc, minlength=b - a), batch.select(["doc_id", "held_out"]).slice(a, b - a)))
-                if sum(len(x) for x, _, _ in held) >= most:
-                    yield score()
+            _, offsets = utf8(batch.column("text"))
+            for a, b in chunks(offsets, 4 << 20):
+                held.append(batch.slice(a, b - a))
+                n += int(offsets[b] - offsets[a]) // 6  # a token's bytes, about
+                if n >= HELD:
+                    yield from send()
         if held:
-            yield score()
+            yield from send()
 
-    scored = cut(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, scores array<double>, apart array<double>, rest array<long>"), "scored")
-    fit = scored.where(~F.col("held_out")).agg(*(F.coalesce(F.sum(F.get("apart", F.lit(i))), F.lit(0.0)) for i in range(len(KAPPAS)))).first()
-    score = F.get("scores", F.lit(int(np.argmax(fit))))
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "region int, chunk long, n1 binary, n2 binary, n3 binary")
 
-    def unpack(batches):
-        for batch in batches:
-            for blob in batch.column("blob"):
-                keys, counts = unpack_counts(blob.as_py())
-                for i in range(0, len(keys), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(np.log10(counts[i : i + 100_000] + 1.0))], names=["word", "log"])
-
-    exact = words.select("blob").mapInArrow(unpack, "word long, log double")
-    rest = scored.select("row", F.explode("rest").alias("word")).join(exact, "word").groupBy("row").agg(F.count("*").alias("n"), F.sum("log").alias("log"))
-    total = model["n"] + model["v"] + 1
-    return scored.drop("rest", "apart").join(rest, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("n", F.lit(0))).alias("n_known"), F.lit(model["n"]).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total)))).alias("base_score"), score.alias("score"),
-    )
+
+def _answers(parts: DataFrame, bits: int, model: str | None) -> DataFrame:
+    """(chunk, region, exact, c1, c2, c3, n, v, mass): the codes of each chunk's keys, and the region's totals in one of its rows.
+
+    model: a folder for the region's filters. Regions are many enough that one of them fits in a task, whatever the keys: equal
+    keys are one.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        region, out, visits, n, v, mass = table.column("region")[0].as_py(), {}, 0, 0, 0, 0.0
+        for i in (1, 2, 3):
+            asked = [unpack_counts(b.as_py()) for b in table.column(f"n{i}")]
+            keys, counts = sum_by_key(np.concatenate([k for k, _ in asked]), np.concatenate([c for _, c in asked]))
+            keys, counts = keys[counts > 0], counts[counts > 0]
+            codes = codes_of(counts)
+            if i == 1:
+                visits, n, v, mass = visits_for(len(keys) << bits), int(counts.sum()), len(keys), float(value_of(codes).sum())
+                at = [np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0)) for k, _ in asked]
+                out["exact"] = [_packed(np.where(keys[x] == k, counts[x], 0).astype(np.uint64) if len(keys) else np.zeros(len(k), np.uint64)) for x, (k, _) in zip(at, asked, strict=True)]
+            held = build_filter(keys, codes, visits)
+            if model is not None:
+                write_whole(f"{model}/{i}-{region}", bytes([visits]) + held.tobytes())
+            out[f"c{i}"] = [_packed(probe(held, k, visits).astype(np.uint16)) for k, _ in asked]
+        once = lambda x, kind: pa.array([x] + [0] * (len(table) - 1), kind)
+        return pa.table({"chunk": table.column("chunk"), "region": table.column("region"), **{k: pa.array(x, pa.binary()) for k, x in out.items()}, "n": once(n, pa.int64()), "v": once(v, pa.int64()), "mass": once(mass, pa.float64())})
+
+    return parts.groupBy("region").applyInArrow(run, "chunk long, region int, exact binary, c1 binary, c2 binary, c3 binary, n long, v long, mass double")
+
+
+def score_texts(docs: DataFrame, is_held_out, model: str | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs(doc_id, text).
+
+    is_held_out: a column over docs; the model learns from rows where it is false. A null text counts as empty: one end and
+    nothing else. Repeated rows are trained on and scored as often as they occur. Without training rows every count is 0, and
+    every probability 1. An empty table gives no rows. A text of any length is scored whole; a task holds about 100 bytes for
+    each of its tokens. Other columns are ignored. model: a folder that gets the filters, for `counts_in`.
+    """
+    spark = bound_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(is_held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    bits, folder = region_bits(spark), new_path(spark, "chunks")
+    answers = cut(_answers(_chunk_parts(docs, bits, folder), bits, model), "answers")
+    n, v, mass = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "mass"))).first()
+    total = float(mass + v + 1)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("region")
+        with pa.ipc.open_file(pa.BufferReader(read_whole(f"{folder}/{table.column('chunk')[0].as_py()}"))) as f:
+            rows = f.read_all().combine_chunks()
+        t, doc = tokens(*utf8(rows.column("text")))
+        counts, exact = [], None
+        for i, keys in enumerate(keys_of(t, doc), 1):
+            _, back = np.unique(keys, return_inverse=True)
+            whole = lambda name, kind: np.concatenate([_unpacked(b.as_py(), kind) for b in table.column(name)])[back]  # noqa: B023, E731
+            exact = whole("exact", np.uint64) if i == 1 else exact
+            counts.append(value_of(whole(f"c{i}", np.uint16)))
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        scores, apart = likelihoods(counts, doc, rows.column("held_out").to_numpy(), total)
+        sums = lambda x: np.add.reduceat(x, first)  # noqa: E731  every document has its end
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(scores.ravel()), len(PAIRS)).cast(pa.list_(pa.float64()))
+        return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": pa.array(np.bincount(doc)), "n_known": pa.array(sums((exact > 0).astype(np.int64))), "logs": pa.array(sums(np.log10(exact + 1.0))), "scores": lists, "apart": pa.array([apart.tolist()] + [None] * (len(rows) - 1), pa.list_(pa.float64()))})
+
+    scored = cut(answers.groupBy("chunk").applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, scores array<double>, apart array<double>"), "scored")
+    fit = scored.where("apart is not null").agg(*(F.coalesce(F.sum(F.get("apart", F.lit(i))), F.lit(0.0)) for i in range(len(PAIRS)))).first()
+    best = int(np.argmax(fit))
+    if model is not None:
+        write_whole(f"{model}/meta", json.dumps({"bits": bits, "total": total, "kappas": PAIRS[best], "words": int(v)}).encode())
+    base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), F.get("scores", F.lit(best)).alias("score"))
+
+
+def counts_in(model: str, order: int, keys: np.ndarray) -> np.ndarray:
+    """The counts that a stored model's filters hold of words (order 1), pairs or triples: one region of them at a time."""
+    bits = json.loads(read_whole(f"{model}/meta"))["bits"]
+    region = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    out = np.zeros(len(keys))
+    for r in np.unique(region):
+        blob = read_whole(f"{model}/{order}-{r}")
+        out[region == r] = value_of(probe(np.frombuffer(blob, np.uint64, offset=1), keys[region == r], blob[0]))
+    return out
