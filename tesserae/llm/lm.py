@@ -8,7 +8,7 @@ the input and no worker ever holds more than one region of it: it is dealt over
 A count c is kept as its quantised logarithm: the place L of its highest bit, and the MANTISSA bits behind that one. The filter
 holds the events (n-gram, 0) .. (n-gram, L) and one for each of the bits behind that is 1; counts under 2 ** (MANTISSA + 1) come back
 exactly, greater ones to a part in 2 ** (MANTISSA + 1). A probe asks level after level until one is missing, then for the bits. An
-event sets BITS bits in each of several 64-bit words; their number grows with the logarithm of the vocabulary, so that over all words
+event sets eight bits in each of several 64-bit words of a block of BLOCK; their number grows with the logarithm of the vocabulary, so that over all words
 false positives add less to a context than a hundredth of one occurrence (`visits_for`).
 
 Probabilities are smoothed towards the next lower order, and those of a context add up to 1 over all words and the unknown one:
@@ -37,7 +37,11 @@ from tesserae.llm.files import read_whole, write_whole
 from tesserae.llm.kernels import chunks, hash_bytes, mix, pack_counts, planes, sum_by_key, unpack_counts, unplanes, utf8, word_hashes
 from tesserae.session import bound_batches, cut, new_path
 
-MANTISSA, BITS = 6, 4
+MANTISSA, BLOCK = 6, 8
+#: Words with the two bits that 12 bits name.
+TWO_BITS = np.uint64(1) << (np.arange(4096, dtype=np.uint64) & np.uint64(63)) | np.uint64(1) << (np.arange(4096, dtype=np.uint64) >> np.uint64(6))
+#: Keys that are worked on at once, so that what is made on the way stays in the processor's cache.
+AT_ONCE = 1 << 15
 #: Tokens of a chunk; a document is never divided.
 HELD = 3 << 19
 KAPPAS2, KAPPAS3 = (4.0, 32.0, 256.0, 2048.0), (2.0, 16.0, 128.0, 1024.0)
@@ -65,45 +69,58 @@ def value_of(codes: np.ndarray) -> np.ndarray:
 
 
 def visits_for(vocabulary: int) -> int:
-    """64-bit words that an event has: each lets one in 50 others or less pass, where a third of the bits is set."""
-    return max(3, int(np.ceil(np.log(100.0 * max(vocabulary, 1)) / np.log(50.0))))
+    """64-bit words that an event has: each lets one in 1,500 others or less pass, where a third of the bits is set."""
+    return min(BLOCK, max(3, int(np.ceil(np.log(100.0 * max(vocabulary, 1)) / np.log(1500.0)))))
 
 
-def _event(keys: np.ndarray, which: int) -> np.ndarray:
-    return mix(keys + np.uint64((which + 1) * ODD & WHOLE))
+def _events(keys: np.ndarray, which: int, blocks: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of the block, hash) of the events `which` of keys, all of them in one region of 2 ** bits.
 
-
-def _places(events: np.ndarray, visit: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The word of each event at a visit, and its bits there."""
-    h = mix(events + np.uint64(visit * GOLDEN & WHOLE))
-    mask = np.zeros(len(h), np.uint64)
-    for j in range(BITS):
-        mask |= np.uint64(1) << (h >> np.uint64(6 * j) & np.uint64(63))
-    return (h >> np.uint64(32)) * np.uint64(words) >> np.uint64(32), mask
-
-
-def build_filter(keys: np.ndarray, codes: np.ndarray, visits: int) -> np.ndarray:
-    """The filter of these n-grams: 10 bits for each event and visit."""
-    level, bits = (codes - 1) >> MANTISSA, (codes - 1) & ((1 << MANTISSA) - 1)
-    events = [_event(keys[level >= i], i) for i in range(int(level.max(initial=-1)) + 1)]
-    events += [_event(keys[bits >> j & 1 == 1], 64 + j) for j in range(MANTISSA)]
-    out = np.zeros(max(8, int(np.ceil(sum(map(len, events)) * visits * 10 / 64))), np.uint64)
-    for e in events:
-        for v in range(visits):
-            at, mask = _places(e, v, len(out))
-            np.bitwise_or.at(out, at, mask)
+    An event's block follows its key's order, shifted for each kind of event: sorted keys go through the filter from end to end,
+    and the events of one frequent n-gram don't fill a block.
+    """
+    place = ((keys << np.uint64(bits)) >> np.uint64(32)) + np.uint64(which * GOLDEN >> 16 & 0xFFFFFFFF) & np.uint64(0xFFFFFFFF)
+    return (place * np.uint64(blocks) >> np.uint64(32)) * np.uint64(BLOCK), mix(keys + np.uint64((which + 1) * ODD & WHOLE))
+
+
+def _places(at: np.ndarray, h: np.ndarray, visit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of each event at a visit, another of its block each time, and the bits there."""
+    word = at + (h + np.uint64(visit) & np.uint64(BLOCK - 1))
+    if visit:
+        h = mix(h + np.uint64(visit * GOLDEN & WHOLE))
+    mask = TWO_BITS[h >> np.uint64(52)]
+    for low in (40, 28, 16):
+        mask |= TWO_BITS[h >> np.uint64(low) & np.uint64(4095)]
+    return word, mask
+
+
+def build_filter(keys: np.ndarray, codes: np.ndarray, visits: int, bits: int) -> np.ndarray:
+    """The filter of these sorted n-grams of one region: 20 bits for each event and visit."""
+    level, rest = (codes - 1) >> MANTISSA, (codes - 1) & ((1 << MANTISSA) - 1)
+    owners = [(i, keys[level >= i]) for i in range(int(level.max(initial=-1)) + 1)]
+    owners += [(64 + j, keys[rest >> j & 1 == 1]) for j in range(MANTISSA)]
+    blocks = max(1, int(np.ceil(sum(len(k) for _, k in owners) * visits * 20 / 64 / BLOCK)))
+    out = np.zeros(blocks * BLOCK, np.uint64)
+    for which, own in owners:
+        for a in range(0, len(own), AT_ONCE):
+            first, h = _events(own[a : a + AT_ONCE], which, blocks, bits)
+            for v in range(visits):
+                np.bitwise_or.at(out, *_places(first, h, v))
     return out
 
 
-def probe(held: np.ndarray, keys: np.ndarray, visits: int) -> np.ndarray:
-    """The code of each key that the filter holds, 0 where its first event is missing."""
+def probe(held: np.ndarray, keys: np.ndarray, visits: int, bits: int) -> np.ndarray:
+    """The code of each key of the region that the filter holds, 0 where its first event is missing."""
+    if len(keys) > AT_ONCE:
+        return np.concatenate([probe(held, keys[a : a + AT_ONCE], visits, bits) for a in range(0, len(keys), AT_ONCE)])
 
     def has(rows: np.ndarray, which: int) -> np.ndarray:
-        events = _event(keys[rows], which)
+        first, h = _events(keys[rows], which, len(held) // BLOCK, bits)
         for v in range(visits):
-            at, mask = _places(events, v, len(held))
+            at, mask = _places(first, h, v)
             there = (held[at] & mask) == mask
-            rows, events = rows[there], events[there]
+            if not there.all():
+                rows, first, h = rows[there], first[there], h[there]
         return rows
 
     level = np.full(len(keys), -1, np.int64)
@@ -244,10 +261,10 @@ def _answers(parts: DataFrame, bits: int, model: str | None) -> DataFrame:
                 visits, n, v, mass = visits_for(len(keys) << bits), int(counts.sum()), len(keys), float(value_of(codes).sum())
                 at = [np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0)) for k, _ in asked]
                 out["exact"] = [_packed(np.where(keys[x] == k, counts[x], 0).astype(np.uint64) if len(keys) else np.zeros(len(k), np.uint64)) for x, (k, _) in zip(at, asked, strict=True)]
-            held = build_filter(keys, codes, visits)
+            held = build_filter(keys, codes, visits, bits)
             if model is not None:
                 write_whole(f"{model}/{i}-{region}", bytes([visits]) + held.tobytes())
-            out[f"c{i}"] = [_packed(probe(held, k, visits).astype(np.uint16)) for k, _ in asked]
+            out[f"c{i}"] = [_packed(probe(held, k, visits, bits).astype(np.uint16)) for k, _ in asked]
         once = lambda x, kind: pa.array([x] + [0] * (len(table) - 1), kind)
         return pa.table({"chunk": table.column("chunk"), "region": table.column("region"), **{k: pa.array(x, pa.binary()) for k, x in out.items()}, "n": once(n, pa.int64()), "v": once(v, pa.int64()), "mass": once(mass, pa.float64())})
 
@@ -302,5 +319,5 @@ def counts_in(model: str, order: int, keys: np.ndarray) -> np.ndarray:
     out = np.zeros(len(keys))
     for r in np.unique(region):
         blob = read_whole(f"{model}/{order}-{r}")
-        out[region == r] = value_of(probe(np.frombuffer(blob, np.uint64, offset=1), keys[region == r], blob[0]))
+        out[region == r] = value_of(probe(np.frombuffer(blob, np.uint64, offset=1), keys[region == r], blob[0], bits))
     return out
