@@ -13,7 +13,8 @@
 5. First every group is verified against one pivot of each shingle, every member against its group's pivot, so that a family
    of near copies becomes one component at linear cost; then every member against NEIGHBOURS of those that it meets. What
    still shares a shingle across components is expanded to member pairs, each at the first shingle where it meets, and all of
-   them are verified. No link is lost; links inside a component need not be listed.
+   them are verified. Members of a frequent shingle are dealt into blocks, and each pair of blocks is a task's. No link is lost;
+   links inside a component need not be listed.
 
 Nodes are 64-bit sums over the set: at 10**9 different sets, two of them agree by chance with odds of 3 %.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.counting import bit_places, by_region, emit_counts, filter_of, filter_words, region_bits
 from tesserae.llm.kernels import chunks, mix, shingles, utf8, word_hashes
-from tesserae.session import bound_batches, cut
+from tesserae.session import bound_batches, cut, hot_keys, join_hot, small_side
 
 FILTER_BYTES = 64 << 20
 LISTED = 1 << 20
@@ -37,7 +38,9 @@ SIGNATURE = 1024
 #: Shingles before one in its prefix that are looked at to see whether a pair has met before.
 EARLIER = 64
 #: Members that each is compared with at a shingle before all pairs across components are, and the members in one such part.
-NEIGHBOURS, PART = 8, 1024
+NEIGHBOURS, PART = 8, 256
+#: Members of a shingle that meet all of one another in one task; those of a more frequent one meet block by block.
+BLOCK = 512
 KEY_MASK = 0xFFFFFFFFFF000000
 
 
@@ -219,6 +222,18 @@ def _neighbours(met: DataFrame, percent: int) -> DataFrame:
     return rows.select(*sides).where(_may_link(percent)).select("a", "b")
 
 
+def _pairs(met: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of members of met(t, comp, earlier, node, ...) that meet at t first, in different components, and may link."""
+    many = met.groupBy("t").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("t", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    dealt = met.join(small_side(many, 64), "t", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    side = lambda x, i, j: dealt.select("t", F.col("comp").alias(f"c{x}"), F.col("earlier").alias(f"e{x}"), *_side(x), i.alias("i"), j.alias("j"))
+    left = side("a", F.col("own"), F.explode(F.sequence("own", F.col("blocks") - 1)))
+    right = side("b", F.explode(F.sequence(F.lit(0), "own")), F.col("own"))
+    apart = F.when(F.col("i") == F.col("j"), F.col("ca") < F.col("cb")).otherwise(F.col("ca") != F.col("cb"))
+    return left.join(right, ["t", "i", "j"]).where(apart & _may_link(percent) & ~F.arrays_overlap("ea", "eb")).select("a", "b")
+
+
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels(node, comp) after more links(a, b) between nodes."""
     side = lambda x: labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
@@ -234,7 +249,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, filter_by
     sequence if it has fewer words. Two documents link when 100 * intersection >= percent * union. component_id is the least
     doc_id reachable over links, the document itself included. Null, empty and wordless texts have 0 shingles and link with
     nothing. Repeated rows stay, each with the same result; a null doc_id counts only where nothing else is reachable. Other
-    columns are ignored, and an empty table gives no rows.
+    columns are ignored, and an empty table gives no rows. A text of any length is read whole; its set is held by a task, 8 bytes
+    a shingle.
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -254,7 +270,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, filter_by
     pivots = members.join(groups.select("g", "node"), ["g", "node"], "left_semi")
     point = lambda name: pivots.select(F.col("g").alias(f"{name}g"), *_side(name))
     across = shared.where("lo != g").select(F.col("lo").alias("ag"), F.col("g").alias("bg")).distinct().join(point("a"), "ag").join(point("b"), "bg").where(_may_link(percent)).select("a", "b")
-    inside = members.select(F.col("g").alias("ag"), *_side("b")).join(point("a"), "ag").where((F.col("a") != F.col("b")) & _may_link(percent)).select("a", "b")
+    hot = hot_keys(groups.withColumnRenamed("g", "ag"), "ag", "size")
+    inside = join_hot(members.select(F.col("g").alias("ag"), *_side("b")), point("a"), "ag", hot).where((F.col("a") != F.col("b")) & _may_link(percent)).select("a", "b")
     labels = components(members, _verified(across.unionByName(inside), heads, percent))
     labels = _merged(labels, _verified(_neighbours(_apart(meets, members, labels), percent), heads, percent))
     met = _apart(meets, members, labels)
@@ -262,9 +279,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, filter_by
     earlier = F.slice("ts", F.greatest(F.col("i") - EARLIER + 1, F.lit(1)), F.least(F.col("i"), F.lit(EARLIER))).alias("earlier")
     met = tokens.select("node", "ts", F.posexplode("ts").alias("i", "t")).select("node", "t", earlier).join(members.drop("g").join(labels, "node"), "node")
     met = cut(met, "met")
-    left, right = (met.select("t", F.col("comp").alias(f"c{x}"), F.col("earlier").alias(f"e{x}"), *_side(x)) for x in "ab")
-    rest = left.join(right, "t").where((F.col("ca") < F.col("cb")) & _may_link(percent) & ~F.arrays_overlap("ea", "eb")).select("a", "b")
-    last = _merged(labels, _verified(rest, heads, percent))
+    last = _merged(labels, _verified(_pairs(met, percent), heads, percent))
 
     linked = rows.where("node is not null").select("doc_id", "n_shingles", "node")
     least = linked.groupBy("node").agg(F.min("doc_id").alias("least")).join(last, "node")

@@ -70,6 +70,40 @@ def test_components_are_brute_force(spark, docs, seed, k, percent, filter_bytes,
     assert sorted(map(tuple, got.collect())) == brute(rows, k, percent)
 
 
+def test_small_parts_and_blocks_lose_nothing(spark, docs, monkeypatch):
+    monkeypatch.setattr(near, "PART", 4)
+    monkeypatch.setattr(near, "BLOCK", 3)
+    monkeypatch.setattr(near, "NEIGHBOURS", 1)
+    rows = list(enumerate(families(5)))
+    got = near.jaccard_components(docs([t for _, t in rows]).repartition(5), 4, 70, 1, 1)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 4, 70)
+
+
+def test_a_frequent_shingle_is_paired_block_by_block(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(near, "BLOCK", 50)
+    n = 400
+    met = spark.range(n).select(F.lit(7).cast("long").alias("t"), (F.col("id") % 100).alias("comp"), F.array(F.col("id")).alias("earlier"), F.col("id").alias("node"), F.lit(10).cast("long").alias("n"), F.lit(10).cast("long").alias("meets"), *(F.lit(0).cast("long").alias(f"s{i}") for i in range(near.SIGNATURE // 64)))
+    got = [tuple(sorted(r)) for r in near._pairs(met, 85).collect()]
+    assert sorted(got) == [(a, b) for a in range(n) for b in range(a + 1, n) if a % 100 != b % 100]
+    blocks = near._pairs(met, 85)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in blocks and "i#" in blocks
+
+
+def test_a_family_larger_than_a_part(spark, docs):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(900):
+        w = list(base)
+        w[rng.randrange(60)] = f"x{rng.randrange(1000)}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    got = near.jaccard_components(docs(texts).repartition(4), 4, 85)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 4, 85)
+
+
 def test_odd_rows(spark, docs):
     ids = [i for i in range(len(ODD))]
     got = near.jaccard_components(docs(ODD + ["one"], ids + [3], clash=True), 4, 85)
