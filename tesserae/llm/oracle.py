@@ -24,12 +24,14 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN
 
 def url_filter() -> str:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
-    canonical = """regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN query = '' THEN '' ELSE '?' || query END""".replace("\\\\", "\\")
+    decoded = "(string_split({0}, '%')[1] || array_to_string(list_transform(string_split({0}, '%')[2:], lambda s: CASE WHEN regexp_matches(s, '^[0-9A-Fa-f]{{2}}') THEN CASE WHEN regexp_matches(chr(CAST('0x' || substr(s, 1, 2) AS INTEGER)), '^[A-Za-z0-9._~-]$') THEN chr(CAST('0x' || substr(s, 1, 2) AS INTEGER)) ELSE '%' || upper(substr(s, 1, 2)) END || substr(s, 3) ELSE '%' || s END), ''))"
+    canonical = rf"regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':(80|443)?$', ''), '^www\.', '') || regexp_replace({decoded.format('path')}, '/+$', '') || CASE WHEN query = '' THEN '' ELSE '?' || query END"
     return rf"""
 WITH x AS (SELECT page_id, url, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, {LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
-  array_to_string(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'), lambda a: a <> '' AND NOT regexp_matches(a, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)')), '&') AS query FROM x),
-u AS (SELECT *, {canonical} AS canon FROM p),
+  regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS q FROM x),
+o AS (SELECT * EXCLUDE (q), array_to_string(list_sort(list_filter(string_split({decoded.format("q")}, '&'), lambda a: a <> '' AND NOT regexp_matches(a, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))), '&') AS query FROM p),
+u AS (SELECT *, {canonical} AS canon FROM o),
 l AS (SELECT DISTINCT canon FROM u WHERE list_contains(string_split(host, '.'), '{LISTED_LABEL}')),
 r(rhost, rpath, rverdict) AS (VALUES {rules}),
 m AS (SELECT u.page_id, u.host, u.path, u.canon, r.rhost || r.rpath AS rule, r.rverdict,

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.session import small_side
+from tesserae.session import hot_keys, join_hot, small_side
 
 WORDS, BITS_PER_KEY, FILTER_BLOCKS = 8, 16, 1 << 19
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,11 +32,26 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(rest_of(url), r"^[^/?#]*([^?#]*)", 1)
 
 
+def decoded(text: Column) -> Column:
+    """Percent-encoded letters, digits, `-`, `.`, `_` and `~` as they are, other codes in capitals."""
+    parts = F.split(text, "%")
+
+    def one(p: Column) -> Column:
+        code = F.substring(p, 1, 2)
+        letter = F.char(F.conv(code, 16, 10).cast("int"))
+        shown = F.when(letter.rlike("^[A-Za-z0-9._~-]$"), letter).otherwise(F.concat(F.lit("%"), F.upper(code)))
+        return F.when(p.rlike("^[0-9A-Fa-f]{2}"), F.concat(shown, F.substring(p, F.lit(3), F.length(p)))).otherwise(F.concat(F.lit("%"), p))
+
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
+
+
 def canonical(url: Column) -> Column:
-    """Host without `www.`, path without closing slashes, query without tracking parameters; no scheme and no fragment."""
+    """Host without user, default port and `www.`; path decoded and without closing slashes; query decoded, its parts sorted and
+    without those for tracking; no scheme and no fragment."""
+    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host_of(url), "^.*@", ""), ":(80|443)?$", ""), r"^www\.", "")
     query = F.regexp_extract(rest_of(url), r"^[^?#]*\?([^#]*)", 1)
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)), "&")
-    return F.concat(F.regexp_replace(host_of(url), r"^www\.", ""), F.regexp_replace(path_of(url), "/+$", ""), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
+    kept = F.array_join(F.array_sort(F.filter(F.split(decoded(query), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))), "&")
+    return F.concat(host, F.regexp_replace(decoded(path_of(url)), "/+$", ""), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
 
 
 def places(blocks: int) -> list[Column]:
@@ -66,7 +81,8 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     rules(host, path, verdict): fits its host and all subdomains where the page's path starts with the rule's; the longest rule
     (host and path, then host, then the text) wins. listed(url): blocked where no rule fits, compared in canonical form. All other
     pages are allowed. A null URL, or one without `://`, has an empty host and path and is allowed. Null rules and URLs in the
-    lists are ignored, repeated ones count once; a rule given with two verdicts blocks. Other columns are ignored.
+    lists are ignored, repeated ones count once; a rule given with two verdicts blocks. Repeated rows stay; a URL that a large
+    part of all rows has, or none, isn't shuffled to one task. A URL of any length is read whole. Other columns are ignored.
     """
     rules = rules.where("host is not null and path is not null and verdict is not null").groupBy(F.concat("host", "path").alias("key")).agg(F.max("verdict").alias("verdict"), F.max(F.length("path")).alias("size"), F.max(F.length("host")).alias("host_size"))
     lengths = [r.size for r in rules.select("size").distinct().collect()]  # as many as rules have path lengths
@@ -84,7 +100,8 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     hits = may_hold(keys, blocks, n).join(small_side(entries, 100), "key")
     best = F.max_by(F.struct("rule", "verdict"), F.struct(F.col("rule").isNotNull(), F.length("key"), "host_size", "key"))
     verdicts = hits.groupBy("url").agg(best.alias("best"))
-    return rows.join(verdicts, "url", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    hot = hot_keys(rows.groupBy("url").agg(F.count("*").alias("n")), "url", "n")
+    return join_hot(rows, verdicts, "url", hot, "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
 
 
 # The production rules: fixed values.

@@ -19,12 +19,40 @@ def brute(url, rules, listed):
     return host, path, None, "block" if canonical(url) and canonical(url) in {canonical(x) for x in listed} else "allow"
 
 
+def decode(text):
+    def one(m):
+        c = chr(int(m[1], 16))
+        return c if re.fullmatch("[A-Za-z0-9._~-]", c) else "%" + m[1].upper()
+
+    return re.sub("%([0-9A-Fa-f]{2})", one, text)
+
+
 def canonical(url):
     rest = url.partition("://")[2] if url and "://" in url else ""
     host, path, query = re.match(r"([^/?#]*)([^?#]*)(?:\?([^#]*))?", rest).groups()
-    kept = "&".join(p for p in (query or "").split("&") if p and not re.match(U.TRACKING, p))
-    host = re.sub(r"^www\.", "", re.sub("[A-Z]", lambda m: m[0].lower(), host))
-    return host + re.sub("/+$", "", path) + ("?" + kept if kept else "")
+    kept = "&".join(sorted(p for p in decode(query or "").split("&") if p and not re.match(U.TRACKING, p)))
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host).rpartition("@")[2]
+    host = re.sub(r"^www\.", "", re.sub(":(80|443)?$", "", host))
+    return host + re.sub("/+$", "", decode(path)) + ("?" + kept if kept else "")
+
+
+def test_spellings_of_one_url(spark):
+    same = ["http://b.net/p~q?b=2&a=1", "https://www.B.net:443/p%7Eq/?a=1&b=2&utm_source=z", "http://me:x@b.net:80/p%7eq?a=1&&b=2#top", "http://b.net:/%70~q?%61=1&b=2"]
+    other = ["http://b.net:81/p~q?a=1&b=2", "http://b.net/p~q?a=1", "http://b.net/p%2fq?a=1&b=2", "http://b.net/100%", "http://b.net/p~Q?a=1&b=2"]
+    assert len({canonical(u) for u in same}) == 1 and len({canonical(u) for u in same + other}) == 1 + len(other)
+    rows = spark.createDataFrame([(u,) for u in same + other], "url string")
+    from pyspark.sql import functions as F
+
+    assert [r.c for r in rows.select(U.canonical(F.col("url")).alias("c")).collect()] == [canonical(u) for u in same + other]
+
+
+def test_one_url_in_every_row_and_none(spark):
+    urls = ["http://b.net/p"] * 3000 + [None] * 3000 + ["http://b.net/q"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(8)
+    rules = spark.createDataFrame(U.RULES, "host string, path string, verdict string")
+    got = U.judge(pages, rules, spark.createDataFrame([("https://www.b.net/p/",)], "url string"))
+    found = sorted((r.page_id, r.verdict) for r in got.collect())
+    assert found == [(i, "block" if u == "http://b.net/p" else "allow") for i, u in enumerate(urls)]
 
 
 def test_verdicts_are_brute_force(spark, monkeypatch):
