@@ -131,7 +131,8 @@ def edits(docs: DataFrame) -> DataFrame:
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many, or all, of the next document's in
     ascending order (`in_order`). A null text counts as empty. A document alone is its own next. Repeated rows follow each other;
     other columns are ignored; an empty table gives no rows. The edited fingerprint is the text's own, less the paragraphs from
-    the edit on, with the new ones added.
+    the edit on, with the new ones added. A text of any length is read whole, in time that is in proportion: rows are dealt by
+    doc_id, so many rows of one id meet in one task, which sorts them on disk if need be.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows, w = in_order(docs)

@@ -88,7 +88,7 @@ def measures(w: Column, text: Column) -> dict[str, Column]:
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row with the array of log-ratios by bucket, from docs(doc_id, text) and the doc_ids that are trusted."""
     marks = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(1))
-    counts = docs.join(small_side(marks, 16), "doc_id", "left").select(F.explode(let(words(F.col("text")), buckets)).alias("bucket"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
+    counts = docs.join(small_side(marks, 64), "doc_id", "left").select(F.explode(let(words(F.col("text")), buckets)).alias("bucket"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
     counts = cut(counts.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("own")), "ngrams")  # BUCKETS rows at most
     total = counts.agg(F.sum("raw").alias("all_raw"), F.sum("own").alias("all_own")).first()
     n, t = float(total.all_raw or 1), float(total.all_own or 0)
@@ -104,7 +104,8 @@ def judged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
     trusted(doc_id): ids of documents that are taken as the target; without any, every ratio is 0. base_failed: under 50 words,
     or over half of the words repeated. A null, empty or wordless text has no words, fails, and scores 0. Repeated rows get equal
-    results. Columns of docs that are called like a result are replaced by it.
+    results. Columns of docs that are called like a result are replaced by it. A text of any length is judged whole, where it is
+    read; its words are held as an array.
     """
     ratios = log_ratios(docs.select("doc_id", "text"), trusted)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]

@@ -1,6 +1,9 @@
 import hashlib
 import random
+import struct
 
+import numpy as np
+import xxhash
 from odd import ODD
 from pyspark.sql import functions as F
 
@@ -72,3 +75,46 @@ def test_repeated_lines_dont_wrap(spark):
         assert r.own == 1 and abs(r.n - x / (x * x + k) ** 0.5) < 0.01, r
     sums = df.select("m", P.sketch(P.paragraphs(F.col("a"))).alias("s"), P.sketch(F.array(F.lit("the same line"))).alias("one")).collect()
     assert all(r.s.n == r.m and r.s.words == [r.m * w for w in r.one.words] for r in sums)
+
+
+def lanes(text):
+    """(number, sums) of a text's paragraphs in plain Python: cut behind line ends, sentence marks and eight words."""
+    found, at = [], []
+    for line in (text or "").split("\n"):
+        for w in [x for x in line.split(" ") if x]:
+            at.append(w)
+            if w[-1] in ".!?" or len(at) == P.LONGEST:
+                found.append(at)
+                at = []
+        if at:
+            found.append(at)
+        at = []
+    sums = np.zeros(P.LANES, np.int64)
+    for words in found:
+        p = " ".join(words).encode()
+        for i in range(P.LANES // 8):
+            h = xxhash.xxh64_intdigest(p, xxhash.xxh64_intdigest(struct.pack("<i", i), 42))
+            own = [h >> 16 * k + 8 * j & 255 for j in range(2) for k in range(4)]
+            sums[8 * i : 8 * i + 8] += own
+    return len(found), sums
+
+
+def cosine(a, b):
+    x, y = (s - 127.5 * n for n, s in (a, b))
+    if not a[0] or not b[0]:
+        return float(a[0] == b[0])
+    return min(1.0, max(0.0, float(x @ y) / float(np.sqrt((x @ x) * (y @ y)))))
+
+
+def test_fingerprints_and_likeness_are_brute_force(spark, docs):
+    rng = random.Random(12)
+    texts = [None, "", "one", "one."] + ["".join(rng.choice(["a. ", "bb ", "é! ", "d\n", "e f g h i j k l m "]) for _ in range(rng.randrange(1, 300))).strip(" ") for _ in range(40)] + ["the same line\n" * 2000 + "x", "the same line\n" * 1500 + "y"]
+    rows = {r.doc_id: r for r in P.edits(docs(texts).repartition(5)).collect()}
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[(i + 1) % len(texts)] or ""
+        m = len(t) // 4
+        own, edited, other = lanes(t), lanes(t[: len(t) - m] + after[:m]), lanes(after)
+        written = lambda x: ".".join(f"{v:x}" for v in (x[0], *x[1].tolist()))
+        assert rows[i].fingerprint == written(own) and rows[i].edited_fingerprint == written(edited)
+        assert abs(rows[i].near_edited - cosine(own, edited)) < 1e-6 and abs(rows[i].near_next - cosine(own, other)) < 1e-6
+    assert rows[len(texts) - 2].near_next > 0.99

@@ -1,7 +1,10 @@
+import math
 import random
 import re
+import struct
 from collections import Counter
 
+import xxhash
 from odd import ODD
 
 from tesserae.llm import quality as Q
@@ -53,3 +56,38 @@ def test_labels(spark):
 def test_plan_has_no_python_and_no_shuffle_of_texts(spark, docs):
     plan = Q.judged(docs(["a b c"] * 4), spark.createDataFrame([(1,)], "doc_id long"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def spark_hash(kind, *texts):
+    """Spark's xxhash64 of an integer and texts."""
+    h = xxhash.xxh64_intdigest(struct.pack("<i", kind), 42)
+    for t in texts:
+        h = xxhash.xxh64_intdigest(t.encode(), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_scores_are_brute_force(spark, docs):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["the", "cat", "é", "sat", "on", "a", "mat", "x1"]) + rng.choice(["", "", "ing"]) for _ in range(rng.randrange(90))) for _ in range(60)] + [None, ""]
+    good = {i for i in range(0, 62, 3)}
+
+    def grams(t):
+        w = (t or "").split()
+        return [b % Q.BUCKETS for b in [*(spark_hash(0, x) for x in w), *(spark_hash(2, x[-2:]) for x in w), *(spark_hash(1, x, y) for x, y in zip(w, w[1:], strict=False))]]
+
+    raw, own = Counter(), Counter()
+    for i, t in enumerate(texts):
+        raw.update(grams(t))
+        own.update(grams(t) if i in good else [])
+    n, t_ = sum(raw.values()), sum(own.values())
+    prior = Q.PRIOR * t_ + Q.LEAST_COUNTS * Q.BUCKETS
+
+    def ratio(b):
+        share = raw[b] / n
+        return math.log((own[b] + prior * share) / ((t_ + prior) * share))
+
+    got = {r.doc_id: (r.score, r.kept) for r in Q.judged(docs(texts), spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()}
+    for i, t in enumerate(texts):
+        b = grams(t)
+        want = sum(map(ratio, b)) / len(b) if b else 0.0
+        assert abs(got[i][0] - want) < 1e-5 and got[i][1] == (not brute(t)[5] and want >= Q.LEAST)
