@@ -54,3 +54,42 @@ def test_query_matches_sql(spark, name):
 def test_every_operator_is_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+TALE = " ".join(f"w{i * 7 % 61}" for i in range(80))
+
+
+def test_near_duplicates_lose_nothing_but_copies(spark):
+    other = " ".join(f"v{i * 5 % 67}" for i in range(80))
+    rows = [(5, TALE, "en"), (3, TALE + " end", "en"), (3, other, "de"), (3, other, "en"), (None, TALE.upper(), "en"), (None, "only one here", None), (9, "", "en"), (9, "", "en"), (None, None, "en"), (4, " \n", None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", None) for i, t, lang in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.text, r.lang) for r in C.near_duplicates(spark, docs, SF).collect()), key=repr)
+    assert got == sorted([(3, TALE + " end", "en"), (3, other, "de"), (None, "only one here", None), (9, "", "en"), (9, "", "en"), (None, None, "en"), (4, " \n", None)], key=repr)
+    assert C.near_duplicates(spark, docs.limit(0), SF).count() == 0
+
+
+@pytest.mark.parametrize("name, stage", C.STAGES)
+def test_stages_take_odd_rows_and_none(spark, name, stage):
+    from odd import ODD
+
+    rows = [(i if i % 3 else None, t, "en" if i % 2 else None, None if i % 4 else "src1", None) for i, t in enumerate([*ODD, TALE, TALE])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for c in ("kept", "score", "rid", "of", "h", "found", "epoch", "n_tokens", "ids", "budget"):
+        docs = docs.selectExpr("*", f"'x' as {c}")
+    got = stage(spark, docs, SF)
+    assert len(got.columns) == len(set(got.columns))
+    n = got.count()
+    assert n == {"quality rules": n, "secret scans": len(rows), "SentencePiece": len(rows)}.get(name, n) and n <= 2 * len(rows)
+    assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_run_leaves_its_stages_only(spark):
+    import os
+
+    from tesserae.session import shared_root
+
+    folder = shared_root(spark).removeprefix("file://") + "/tesserae"
+    before = set(os.listdir(folder))
+    C.run(spark, SF).count()
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"quality-rules", "n-gram-Jaccard-join", "secret-scans", "source-mix"}
