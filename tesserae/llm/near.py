@@ -77,6 +77,7 @@ def repeated_shingles(docs: DataFrame, k: int, filter_bytes: int = FILTER_BYTES,
     for r in rows:
         words[r.region] = r.words
     parts = {r.region: r for r in rows}
+    del rows
     order = sorted(parts)
     return {
         "bits": bits,
@@ -256,6 +257,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, filter_by
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sc = docs.sparkSession.sparkContext
     known = sc.broadcast(repeated_shingles(docs, k, filter_bytes, listed))
+    pa.default_memory_pool().release_unused()
     rows = cut(_nodes_of(docs, known, k, percent), "nodes")
     heads = rows.where("shingles is not null").withColumn("g", F.xxhash64("prefix", "n_shingles"))
     members = heads.select("node", "g", F.col("n_shingles").alias("n"), "meets", *(F.col("marks")[i].alias(f"s{i}") for i in range(SIGNATURE // 64)))

@@ -103,13 +103,14 @@ def build(pieces: list[tuple[str, float, int]], kind: int, prefix: bool, unknown
                         left[ids[p]], right[ids[p]], born[ids[p]] = a, b, max(rank[ids[p]], born[a], born[b])
                         continue
                 born[ids[p]] = NEVER  # merging never makes it
-    pairs = sorted((ids[p[:k]] * n + ids[p[k:]], int(rank[i])) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids) or [(-1, 0)]
+    pairs = np.array([(ids[p[:k]] * n + ids[p[k:]], rank[i]) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids] or [(-1, 0)], np.int64)
+    pairs = pairs[np.argsort(pairs[:, 0])]
     shown = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t not in (NORMAL, USER, UNKNOWN) else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in pieces]
     as_bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
     return {
-        "kind": kind, "prefix": prefix, "n": n, "unknown": unknown, "longest": max(map(len, ids)), "scores": scores, "ids": ids,
+        "kind": kind, "prefix": prefix, "n": n, "unknown": unknown, "longest": max(map(len, ids)),
         "keys": keys[order], "seen": np.bincount((keys >> np.uint64(64 - SEEN_BITS)).astype(np.int64), minlength=1 << SEEN_BITS) > 0, "places": np.array(list(ids.values()), np.int32)[order],
-        "score": np.array([s for _, s, _ in pieces] + [min(scores.values()) - 10.0], np.float32), "left": left, "right": right, "rank": rank, "born": born, "pairs": np.array([k for k, _ in pairs]), "pair_rank": np.array([r for _, r in pairs]),
+        "score": np.array([s for _, s, _ in pieces] + [min(scores.values()) - 10.0], np.float32), "left": left, "right": right, "rank": rank, "born": born, "pairs": pairs[:, 0].copy(), "pair_rank": pairs[:, 1].copy(),
         "bytes": np.array([as_bytes.get(i, -1) for i in range(256)], np.int64) if len(as_bytes) == 256 else None,
         "shown": np.frombuffer(b"".join(shown), np.uint8), "shown_at": np.concatenate([[0], np.cumsum([len(x) for x in shown])]),
         "names": [p for p, _, _ in pieces] + [""], "sizes": [len(p) for p, _, _ in pieces] + [1],
