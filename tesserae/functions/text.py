@@ -81,23 +81,31 @@ def strip_prose(c: Column) -> Column:
     return c
 
 
-def fence_flags(lines: Column) -> Column:
-    """For each line of an array, whether it belongs to a fenced code block.
+def fence_spans(lines: Column) -> Column:
+    """array<struct<first, last>>: the fenced code blocks of an array of lines, by the numbers of their first and last line.
 
     A fence opens with three or more backticks or tildes behind white space and closes with as many or more of the same and nothing
-    after them; both lines belong to it, and an open one runs to the end.
+    after them; both lines belong to it, and an open one runs to the end. Only lines that begin like a fence are gone through.
     """
-    start = F.struct(F.lit("").alias("mark"), F.array().cast("array<boolean>").alias("flags"))
+    pattern = r"(?U)^\s*(`{3,}|~{3,})"
+    rows = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.regexp_extract(x, pattern, 1).alias("mark"), F.regexp_replace(x, pattern, "").rlike(r"(?U)^\s*$").alias("bare")))
+    none = F.array().cast("array<struct<first: int, last: int>>")
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("since"), none.alias("spans"))
+
+    def step(state: Column, row: Column) -> Column:
+        opens = state["open"] == ""
+        closes = ~opens & row["bare"] & (F.substring(row["mark"], 1, 1) == F.substring(state["open"], 1, 1)) & (F.length(row["mark"]) >= F.length(state["open"]))
+        spans = F.when(closes, F.concat(state["spans"], F.array(F.struct(state["since"].alias("first"), row["i"].alias("last"))))).otherwise(state["spans"])
+        return F.struct(F.when(opens, row["mark"]).when(closes, "").otherwise(state["open"]).alias("open"), F.when(opens, row["i"]).otherwise(state["since"]).alias("since"), spans.alias("spans"))
 
-    def step(state: Column, line: Column) -> Column:
-        found = F.regexp_extract(line, r"(?U)^\s*(`{3,}|~{3,})", 1)
-        rest = F.regexp_replace(line, r"(?U)^\s*(`{3,}|~{3,})", "")
-        inside = state["mark"] != ""
-        closes = inside & (found != "") & (F.substring(found, 1, 1) == F.substring(state["mark"], 1, 1)) & (F.length(found) >= F.length(state["mark"])) & rest.rlike(r"(?U)^\s*$")
-        mark = F.when(closes, "").when(inside, state["mark"]).otherwise(found)
-        return F.struct(mark.alias("mark"), F.concat(state["flags"], F.array(inside | (found != ""))).alias("flags"))
+    end = F.size(lines) - 1
+    return F.aggregate(F.filter(rows, lambda r: r["mark"] != ""), start, step, lambda s: F.when(s["open"] == "", s["spans"]).otherwise(F.concat(s["spans"], F.array(F.struct(s["since"].alias("first"), end.alias("last"))))))
 
-    return F.aggregate(lines, start, step, lambda state: state["flags"])
+
+def fence_flags(lines: Column) -> Column:
+    """For each line of an array, whether it belongs to a fenced code block (`fence_spans`)."""
+    spans = F.transform(F.array(fence_spans(lines)), lambda s: F.transform(lines, lambda _, i: F.exists(s, lambda x: (x["first"] <= i) & (i <= x["last"]))))
+    return F.element_at(spans, 1)
 
 
 def prose(text: Column) -> Column:

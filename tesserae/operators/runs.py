@@ -62,24 +62,27 @@ def question_rows(seed: DataFrame, groups: DataFrame, areas: dict[str, str], pro
     )
 
 
-def rank(chunks: DataFrame, queries: DataFrame, method: str, k: int, heading_path: bool = False, model: str = "", encode: Callable | None = None, cache: DataFrame | None = None) -> DataFrame:
+def rank(chunks: DataFrame, queries: DataFrame, method: str, k: int, heading_path: bool = False, model: str = "", encode: Callable | None = None, cache: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, score) with the columns of the k best chunks for each of queries(query_id, text), by one of METHODS.
 
-    encode: as for vector.refresh_vectors; it is needed for all methods but keyword. cache: vectors made before.
+    encode: as for vector.refresh_vectors; it is needed for all methods but keyword. cache: vectors made before. index: keyword
+    postings of the chunks, if they are stored.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
     key, wanted = ["url", "ord"], fusion.candidates(k) if method == "hybrid" else k
     lists = []
     if method != "embeddings":
-        indexed = chunks.select(*key, F.array_join("heading_path", " > ").alias("path"), "text")
-        lists.append(keyword.bm25(indexed, queries, key, ["path", "text"] if heading_path else ["text"], wanted))
+        if index is None:
+            indexed = chunks.select(*key, F.array_join("heading_path", " > ").alias("path"), "text")
+            lists.append(keyword.bm25(indexed, queries, key, ["path", "text"] if heading_path else ["text"], wanted))
+        else:
+            lists.append(keyword.ranked(index, keyword.wanted(queries), key, wanted))
     if method != "keyword":
         if encode is None:
             raise ValueError(f"{method} needs an encoder")
         spark = chunks.sparkSession
-        texts = chunks.select(F.struct(*key).alias("k"), vector.embedded_text(F.col("heading_path"), F.col("text"), heading_path).alias("t"))
-        asked = queries.where(F.trim("text") != "").select("query_id", F.col("text").alias("t"))
+        texts, asked = embedded(chunks, queries, heading_path)
         cache = spark.createDataFrame([], "model string, text_hash string, vector array<float>") if cache is None else cache
         known = vector.refresh_vectors(cache, texts.select("t").unionByName(asked.select("t")), model, encode, "t").where(F.col("model") == model).select("text_hash", F.col("vector").alias("embedding"))
         with_vector = lambda df: df.withColumn("text_hash", F.sha2("t", 256)).join(known, "text_hash")
@@ -89,6 +92,12 @@ def rank(chunks: DataFrame, queries: DataFrame, method: str, k: int, heading_pat
     return best.join(chunks, key)
 
 
+def embedded(chunks: DataFrame, queries: DataFrame, heading_path: bool) -> tuple[DataFrame, DataFrame]:
+    """(k, t) of chunks and (query_id, t) of queries(query_id, text): what of them is embedded."""
+    texts = chunks.select(F.struct("url", "ord").alias("k"), vector.embedded_text(F.col("heading_path"), F.col("text"), heading_path).alias("t"))
+    return texts, queries.where(F.trim("text") != "").select("query_id", F.col("text").alias("t"))
+
+
 def evaluate(store: Store, config: dict, questions: DataFrame, label: str, folder: str, method: str = "keyword", baseline: dict | None = None, encode: Callable | None = None) -> dict:
     """Rank all questions, score them, and write `<date>-<label>.json` and `.md` below `folder`; the record.
 
@@ -97,7 +106,12 @@ def evaluate(store: Store, config: dict, questions: DataFrame, label: str, folde
     store.check_settings(settings_of(config))
     chunks, pages = store.table("chunks"), store.table("pages")
     queries = questions.select(F.col("id").alias("query_id"), F.col("question").alias("text"))
-    results = rank(chunks, queries, method, evaluation.DEPTH, bool(config["search"].get("index_heading_path")), config["search"].get("embedding_model", ""), encode).cache()
+    with_path, model, cache = bool(config["search"].get("index_heading_path")), config["search"].get("embedding_model", ""), None
+    if method != "keyword" and encode is not None:  # new vectors are stored, so that no run encodes a text again
+        texts, asked = embedded(chunks, queries, with_path)
+        store.add_vectors(vector.missing_vectors(store.table("vectors"), texts.select("t").unionByName(asked.select("t")), model, encode, "t"))
+        cache = store.table("vectors")
+    results = rank(chunks, queries, method, evaluation.DEPTH, with_path, model, encode, cache, store.index(with_path)).cache()
     scores = evaluation.question_ranks(questions, results).cache()
     table = [r.asDict() for r in evaluation.recall(scores).orderBy("kind", "questions").collect()]
     tokens = evaluation.tokens_returned(questions, results).first().asDict()

@@ -51,18 +51,23 @@ def section_text(markdown: Column, heading: Column) -> Column:
     A deeper heading of the same text inside sets the height anew.
     """
     lines = F.split(markdown, "\n")
-    rows = F.arrays_zip(lines.alias("line"), fence_flags(lines).alias("code"))
-    start = F.struct(F.lit(0).alias("level"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("kept"))
-
-    def step(s: Column, row: Column) -> Column:
-        line = row["line"]
-        level = F.when(row["code"], 0).otherwise(F.length(F.regexp_extract(line, "^(#+) (.*)", 1)))
-        done = s["done"] | ((s["level"] > 0) & (level > 0) & (level <= s["level"]))
-        own = ~done & (level > 0) & (trim(F.regexp_extract(line, "^(#+) (.*)", 2)) == trim(heading))
-        inside = (s["level"] > 0) & ~done & ~own
-        return F.struct(F.when(own, level).otherwise(s["level"]).alias("level"), done.alias("done"), F.when(inside, F.concat(s["kept"], F.array(line))).otherwise(s["kept"]).alias("kept"))
-
-    return F.aggregate(rows, start, step, lambda s: F.when(s["level"] > 0, F.array_join(s["kept"], "\n")))
+    rows = F.transform(F.arrays_zip(lines.alias("line"), fence_flags(lines).alias("code")), lambda r, i: F.struct(i.alias("i"), r["line"].alias("line"), F.when(r["code"], 0).otherwise(F.length(F.regexp_extract(r["line"], "^(#+) (.*)", 1))).alias("level")))
+    named = lambda r: (r["level"] > 0) & (trim(F.regexp_extract(r["line"], "^(#+) (.*)", 2)) == trim(heading))
+    # Only headings are gone through: the section's first line and the heading that ends it.
+    start = F.struct(F.lit(0).alias("level"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+
+    def step(s: Column, r: Column) -> Column:
+        ends = (s["last"] < 0) & (s["level"] > 0) & (r["level"] <= s["level"])
+        own = (s["last"] < 0) & ~ends & named(r)
+        return F.struct(F.when(own, r["level"]).otherwise(s["level"]).alias("level"), F.when(own & (s["first"] < 0), r["i"]).otherwise(s["first"]).alias("first"), F.when(ends, r["i"]).otherwise(s["last"]).alias("last"))
+
+    def cut(x: Column) -> Column:
+        last = F.when(x["s"]["last"] < 0, F.size(x["rows"])).otherwise(x["s"]["last"])
+        inside = F.slice(x["rows"], x["s"]["first"] + 2, F.greatest(last - x["s"]["first"] - 1, F.lit(0)))
+        return F.when(x["s"]["first"] >= 0, F.array_join(F.transform(F.filter(inside, lambda r: ~named(r)), lambda r: r["line"]), "\n"))
+
+    found = F.transform(F.array(rows), lambda all_: F.struct(all_.alias("rows"), F.aggregate(F.filter(all_, lambda r: r["level"] > 0), start, step).alias("s")))
+    return F.element_at(F.transform(found, cut), 1)
 
 
 def question_checks(questions: DataFrame, pages: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.session import small_side, spread
+from tesserae.session import cut, small_side, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +26,13 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     """
     found = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("evidence"))
     words = lambda c: F.split(F.lower(c), r"\s+")
+    four = lambda w, i: F.xxhash64(*(F.get(w, i + k) for k in range(4)))
     # A document that holds a passage has its inner words, the second to the fifth, as words in a row; the rest is compared then.
-    asked = found.select("id", "evidence", F.array_join(F.slice(words("evidence"), 2, 4), " ").alias("key"))
+    asked = found.select("id", "evidence", four(words("evidence"), F.lit(1)).alias("key"))
     docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t"), words("text").alias("w"))
-    rows = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " "))))
+    rows = F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda i: four(F.col("w"), i)))
     held = docs.select("doc_id", "t", rows.alias("key")).join(small_side(asked, 500), "key").where(F.contains("t", F.lower("evidence"))).groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    held = cut(held, "held")  # a row a passage
     rows = found.join(held, "id", "left")
     return rows.select("id", "evidence", F.concat(F.lit("p"), F.floor(F.coalesce("doc_id", F.lit(0)) / 10).cast("string")).alias("expected_url"), F.when(F.col("id") % 4 == 0, "fourth").otherwise("").alias("group"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("origin"))
 
