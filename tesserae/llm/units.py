@@ -9,7 +9,7 @@ from itertools import chain
 
 import numpy as np
 
-from tesserae.llm.kernels import BASE_INVERSE, powers, prefix_hashes, span_hashes
+from tesserae.llm.kernels import BASE_INVERSE, chunks, powers, prefix_hashes, span_hashes
 
 
 class Units:
@@ -51,19 +51,26 @@ class Units:
         self.pool = self.pool[np.repeat(starts - self.starts, self.sizes) + np.arange(int(self.sizes.sum()))]
         self.uses, self.lengths = self.uses[kept] // 2, self.lengths[kept]
 
+    def spans(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, bytes) of each unit of texts; they stand one behind the other."""
+        ends = self.solid(raw)
+        ends[:-1] &= ~ends[1:]
+        ends[np.unique(offsets[1:][offsets[1:] > 0]) - 1] = True  # a run ends with its text
+        ends = np.flatnonzero(ends) + 1
+        starts = np.concatenate([[0], ends[:-1]])
+        return span_hashes(prefix_hashes(raw), powers(len(raw) + 1, BASE_INVERSE), starts, ends), ends - starts
+
     def numbers(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the numbers of all units, bounds by text) of texts in UTF-8; new units are learnt. Valid until the next call."""
         if len(self) > self.most_units or int(self.lengths.sum()) > self.most_bytes:
             self.thin()
         if not len(raw):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        ends = self.solid(raw)
-        ends[:-1] &= ~ends[1:]
-        ends[np.unique(offsets[1:][offsets[1:] > 0]) - 1] = True
-        # A run that goes on in the next text ends there as well; the line above has set that.
-        ends = np.flatnonzero(ends) + 1
-        starts = np.concatenate([[0], ends[:-1]])
-        h = span_hashes(prefix_hashes(raw), powers(len(raw) + 1, BASE_INVERSE), starts, ends)
+        found = [self.spans(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets) if offsets[b] > offsets[a]]
+        h = np.concatenate([x for x, _ in found])
+        lengths = np.concatenate([x for _, x in found])
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
         own, first, back = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, own)
         known = np.zeros(len(own), bool)
@@ -73,14 +80,14 @@ class Units:
         new = np.flatnonzero(~known)
         if len(new):
             whole, spans = raw.tobytes(), zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
-            found = self.learn([whole[a:b].decode() for a, b in spans])
+            learnt = self.learn([whole[a:b].decode() for a, b in spans])
             number[new] = len(self) + np.arange(len(new))
             self.keys, self.places = np.insert(self.keys, at[new], own[new]), np.insert(self.places, at[new], number[new])
-            sizes = np.fromiter(map(len, found), np.int32, len(found))
+            sizes = np.fromiter(map(len, learnt), np.int32, len(learnt))
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes, dtype=np.int64) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
-            self.lengths = np.concatenate([self.lengths, (ends - starts)[first[new]].astype(np.int32)])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(learnt), np.uint32, int(sizes.sum()))])
+            self.lengths = np.concatenate([self.lengths, lengths[first[new]].astype(np.int32)])
             self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
         self.uses[number] += np.bincount(back, minlength=len(own))
         return number[back], np.searchsorted(starts, offsets)
