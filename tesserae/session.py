@@ -47,7 +47,7 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+def bound_batches(spark: SparkSession, rows: int = 256) -> SparkSession:
     """Lower the rows of an Arrow batch to `rows`, where the session leaves them at Spark's 10,000: texts are long rows.
 
     The setting stays: Spark reads it when a result is computed, which is after the operator has returned.
