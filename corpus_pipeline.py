@@ -37,10 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = docs.where(has_words).withColumn("rid", F.xxhash64("doc_id", "text"))
     groups = near.jaccard_components(rows.select(F.col("rid").alias("doc_id"), "text"), k=5, percent=80)
     groups = cut(groups.groupBy(F.col("doc_id").alias("rid"), F.col("component_id").alias("of")).agg(F.count("*").alias("copies")), "groups")
-    several = groups.groupBy("of").agg(F.count("*").alias("n")).where("n > 1").select("of")
-    named = groups.join(several, "of", "left_semi").join(rows.select("rid", "doc_id").dropDuplicates(["rid"]), "rid")
-    best = named.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))["rid"].alias("rid"))
-    others = named.select("rid").join(best.select("rid"), "rid", "left_anti")
+    named = cut(groups.join(rows.select("rid", "doc_id").dropDuplicates(["rid"]), "rid").select("rid", "of", F.col("doc_id").isNull().alias("none"), "doc_id"), "named")
+    best = named.groupBy("of").agg(F.min(F.struct("none", "doc_id", "rid"))["rid"].alias("rid"))
+    others = cut(named.select("rid").join(best.select("rid"), "rid", "left_anti"), "others")
     kept = rows.join(others, "rid", "left_anti")
     repeated = groups.where("copies > 1").select("rid")
     once = kept.join(repeated, "rid", "left_anti").select(*COLUMNS)
