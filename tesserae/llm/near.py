@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.counting import bit_places, by_region, emit_counts, filter_of, filter_words, region_bits
 from tesserae.llm.kernels import chunks, mix, shingles, utf8, word_hashes
-from tesserae.session import bound_batches, cut, hot_keys, join_hot, small_side
+from tesserae.session import bound_batches, cut, give_back, hot_keys, join_hot, small_side
 
 FILTER_BYTES = 64 << 20
 LISTED = 1 << 20
@@ -258,6 +258,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, filter_by
     sc = docs.sparkSession.sparkContext
     known = sc.broadcast(repeated_shingles(docs, k, filter_bytes, listed))
     pa.default_memory_pool().release_unused()
+    give_back()
     rows = cut(_nodes_of(docs, known, k, percent), "nodes")
     heads = rows.where("shingles is not null").withColumn("g", F.xxhash64("prefix", "n_shingles"))
     members = heads.select("node", "g", F.col("n_shingles").alias("n"), "meets", *(F.col("marks")[i].alias(f"s{i}") for i in range(SIGNATURE // 64)))
