@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import mixing, near, pieces, quality, secrets
 from tesserae.llm.queries import table, vocabulary
-from tesserae.session import cut, finished
+from tesserae.session import cut, finished, small_side
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -40,8 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     named = cut(groups.join(rows.select("rid", "doc_id").dropDuplicates(["rid"]), "rid").select("rid", "of", F.col("doc_id").isNull().alias("none"), "doc_id"), "named")
     best = named.groupBy("of").agg(F.min(F.struct("none", "doc_id", "rid"))["rid"].alias("rid"))
     others = cut(named.select("rid").join(best.select("rid"), "rid", "left_anti"), "others")
-    kept = rows.join(others, "rid", "left_anti")
-    repeated = groups.where("copies > 1").select("rid")
+    kept = rows.join(small_side(others, 64), "rid", "left_anti")
+    repeated = small_side(groups.where("copies > 1").select("rid"), 64)
     once = kept.join(repeated, "rid", "left_anti").select(*COLUMNS)
     one = kept.join(repeated, "rid", "left_semi").groupBy("rid").agg(F.min(F.struct(*COLUMNS)).alias("least")).select("least.*")
     return once.unionByName(one).unionByName(docs.where(~has_words))
