@@ -1 +1,3 @@
-"""Registered queries and their SQL."""
+"""Registered queries."""
+
+from tesserae.plans import generated  # noqa: F401

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.session import cut, small_side, spread
@@ -64,3 +66,22 @@ def fenced(spark: SparkSession, d: str) -> DataFrame:
     lines = F.split("text", "\n")
     text = F.array_join(F.transform(lines, lambda x, i: F.when(i % 3 == 2, F.concat(F.lit("```\n"), x, F.lit("\n```"))).otherwise(x)), "\n")
     return table(spark, d, "documents").select("doc_id", text.alias("text"))
+
+
+#: What plain lines don't have: all but letters, digits, full stops, commas and spaces.
+NOT_PLAIN = r"[^A-Za-z0-9\x{00C0}-\x{02AF}\x{4E00}-\x{9FFF}., \n]"
+
+
+def plain_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, lines): the lines of each document without markup characters, blank lines and outer spaces; no row without any."""
+    text = F.col("text")
+    for pattern, by in ((NOT_PLAIN, ""), (" +", " "), (r" ?\n[ \n]*", "\n")):
+        text = F.regexp_replace(text, pattern, by)
+    rows = table(spark, d, "documents").select("doc_id", F.btrim(text, F.lit(" \n")).alias("text"))
+    return rows.where("text <> ''").select("doc_id", F.split("text", "\n").alias("lines"))
+
+
+def generated(spark: SparkSession, d: str, piece: Callable[[Column, Column], Column], before: str = "", behind: str = "") -> DataFrame:
+    """(url, title, body): a page of each document's plain lines, every line made into a piece of markup by its text and number."""
+    body = F.concat(F.lit(before), F.array_join(F.transform("lines", piece), "\n\n"), F.lit(behind))
+    return plain_lines(spark, d).select(F.col("doc_id").cast("string").alias("url"), F.lit("Top").alias("title"), body.alias("body"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
-from tesserae.operators import chunking, evaluation, fusion, keyword, markup, stats, sync, vector
+from tesserae.operators import chunking, evaluation, fusion, keyword, stats, sync, vector
 from tesserae.plans import adapters as A
 from tesserae.sources import pages as source
 
@@ -267,11 +267,6 @@ def chk_split_tabs(spark, d):
     return chunking.chunk_pages(rows, chunking.Settings(200, 20, True)).select("url", "ord", F.array_join("heading_path", " > ").alias("path"), "part", "tokens", "content_hash")
 
 
-@register("md_clean_markup")
-def md_clean_markup(spark, d):
-    return A.table(spark, d, "pages").select("page_id", markup.clean_markup("html").alias("markdown"))
-
-
 @register("chk_slugs", r"""SELECT DISTINCT s AS heading, trim(regexp_replace(regexp_replace(strip_accents(lower(replace(s, 'ß', ''))), '[^a-z0-9_\s-]', '', 'g'), '[-\s]+', '-', 'g'), '') AS slug FROM (SELECT 'About ' || source || ', in ' || lang || ': eth_call' AS s FROM documents)""")
 def chk_slugs(spark, d):
     rows = A.table(spark, d, "documents").select(F.concat(F.lit("About "), F.col("source"), F.lit(", in "), F.col("lang"), F.lit(": eth_call")).alias("heading")).distinct()
