@@ -11,9 +11,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
-from tesserae.operators import chunking, markup, runs, stats, vector
+from tesserae.operators import chunking, keyword, markup, runs, stats, vector
 from tesserae.plans import adapters as A
-from tesserae.plans.registry import PATH, nested, register
+from tesserae.plans.registry import PATH, TERMS, nested, register
 from tesserae.session import cut, shared_root
 from tesserae.sources import pages as source
 from tesserae.sources.store import Store
@@ -232,3 +232,50 @@ def vf_unknown_ids(spark, d):
     rows = seed(spark, d)
     groups = rows.select(F.when(F.col("item_id") % 4 == 0, text_of("q", F.col("item_id"))).otherwise(F.col("id")).alias("id"), F.lit("g").alias("group"))
     return stats.unknown_ids(groups, rows)
+
+
+@register("src_fetch", """SELECT item_id AS pos, 'https://l.example/' || item_id AS link_url, CASE WHEN item_id % 10 <> 0 THEN text END AS raw, item_id % 10 = 0 AS failed FROM benchmark""")
+def src_fetch(spark, d):
+    """Pages by the page source, a row a link, from URLs that hold their content; every tenth can't be read, which is a row too.
+
+    Links are a driver's list, here one of the benchmark's items.
+    """
+    where = F.when(F.col("item_id") % 10 == 0, "data:broken").otherwise(F.concat(F.lit("data:text/plain;base64,"), F.base64(F.encode("text", "UTF-8"))))
+    links = A.table(spark, d, "benchmark").select("item_id", text_of("https://l.example/", F.col("item_id")), where).collect()
+    return source.fetch(spark, [tuple(r) for r in links]).select("pos", "link_url", "raw", F.col("error").isNotNull().alias("failed"))
+
+
+@register("src_questions", """WITH q AS (SELECT item_id, 'q' || item_id AS id, text AS question, 'https://x.example/' || item_id AS expected_url, 'A "quoted", heading' AS expected_section, item_id % 2 = 0 AS verified FROM benchmark)
+SELECT id, question, expected_url, expected_section, CASE WHEN item_id % 3 = 0 THEN text END AS evidence, verified, kind FROM q JOIN benchmark USING (item_id), (VALUES ('jsonl'), ('csv')) k(kind)""")
+def src_questions(spark, d):
+    """Questions written as JSON lines and as CSV, and read back from either."""
+    n, folder = F.col("item_id"), f"{shared_root(spark)}/questions-{uuid.uuid4().hex}"
+    rows = A.table(spark, d, "benchmark").select(text_of("q", n).alias("id"), F.col("text").alias("question"), text_of("https://x.example/", n).alias("expected_url"), F.lit('A "quoted", heading').alias("expected_section"), F.when(n % 3 == 0, F.col("text")).alias("evidence"), (n % 2 == 0).alias("verified"))
+    runs.write_questions(rows, folder)
+    tables = spark.read.schema(rows.schema).option("header", True).option("multiLine", True).option("escape", '"').csv(f"{folder}/csv")
+    both = runs.load_questions(spark, f"{folder}/jsonl").select(*rows.columns).withColumn("kind", F.lit("jsonl"))
+    return both.unionByName(tables.withColumn("kind", F.lit("csv")))
+
+
+@register("kw_postings", f"""WITH w AS (SELECT doc_id, {TERMS.format("text")} AS w FROM documents), t AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM w),
+p AS (SELECT doc_id, any_value(dl) AS dl, term, count(*) AS tf FROM t GROUP BY doc_id, term UNION ALL SELECT doc_id, len(w), '', NULL FROM w)
+SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS tf, CAST(sum(dl) AS BIGINT) AS dl FROM p GROUP BY term""")
+def kw_postings(spark, d):
+    """The index's terms with their documents, occurrences and the lengths of those documents; the empty term stands for all."""
+    rows = keyword.postings(A.table(spark, d, "documents"), ["doc_id"], ["text"])
+    return rows.groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.when(F.col("term") != "", F.col("tf"))).cast("long").alias("tf"), F.sum("dl").cast("long").alias("dl"))
+
+
+@register("st_rechunk", f"WITH {PLAIN} SELECT *, false AS recorded FROM (" + chunks_sql(r"'## Part ' || i || E'\n\n' || x", "'Page > Part ' || i", "'part-' || i") + ") WHERE CAST(url AS BIGINT) % 10 <> 0")
+def st_rechunk(spark, d):
+    """Chunks made anew from stored pages under other settings, after a sync that didn't record its own, as every tenth page failed."""
+    pages = A.generated(spark, d, lambda x, i: text_of("## Part ", i, "\n\n", x), "---\ntitle: Page\n---\n")
+    failed = F.col("url").cast("long") % 10 == 0
+    fetched = pages.select(F.col("url").cast("long").alias("pos"), F.col("url").alias("link_url"), F.col("url").alias("md_url"), F.when(~failed, F.col("body")).alias("raw"), F.when(failed, "failed").alias("error"))
+    store = Store(spark, f"{shared_root(spark)}/store-{uuid.uuid4().hex}")
+    store.sync(fetched, chunking.Settings(1 << 20))
+    recorded = store.meta("signature") is not None
+    store.rechunk(chunking.Settings(WHOLE))
+    store.check_settings(chunking.Settings(WHOLE))
+    rows = store.table("chunks").select("url", "ord", F.array_join("heading_path", " > ").alias("path"), "anchor", "part", "tokens", "content_hash")
+    return rows.withColumn("recorded", F.lit(recorded))
