@@ -32,7 +32,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     # A document that holds a passage has its inner words, the second to the fifth, as words in a row; the rest is compared then.
     asked = found.select("id", "evidence", four(words("evidence"), F.lit(1)).alias("key"))
     docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t"), words("text").alias("w"))
-    rows = F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda i: four(F.col("w"), i)))
+    rows = F.explode_outer(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda i: four(F.col("w"), i)))
     held = docs.select("doc_id", "t", rows.alias("key")).join(small_side(asked, 500), "key").where(F.contains("t", F.lower("evidence"))).groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     held = cut(held, "held")  # a row a passage
     rows = found.join(held, "id", "left")
@@ -77,7 +77,8 @@ def plain_lines(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
     for pattern, by in ((NOT_PLAIN, ""), (" +", " "), (r" ?\n[ \n]*", "\n")):
         text = F.regexp_replace(text, pattern, by)
-    rows = table(spark, d, "documents").select("doc_id", F.btrim(text, F.lit(" \n")).alias("text"))
+    # A generator holds the text, so that the filter doesn't work it out again.
+    rows = table(spark, d, "documents").select("doc_id", F.explode_outer(F.array(F.btrim(text, F.lit(" \n")))).alias("text"))
     return rows.where("text <> ''").select("doc_id", F.split("text", "\n").alias("lines"))
 
 

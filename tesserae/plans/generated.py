@@ -93,7 +93,7 @@ def md_clean_markup(spark, d):
 @register("md_indents", f"WITH {PLAIN} SELECT url, CAST(i AS INTEGER) AS i, CAST(i % 5 AS INTEGER) AS indent FROM e")
 def md_indents(spark, d):
     """Leading spaces of lines, before a tab for every second one."""
-    rows = A.plain_lines(spark, d).select(F.col("doc_id").cast("string").alias("url"), F.posexplode("lines").alias("i", "x"))
+    rows = A.plain_lines(spark, d).select(F.col("doc_id").cast("string").alias("url"), F.posexplode_outer("lines").alias("i", "x"))
     return rows.select("url", "i", T.indent_of(F.concat(F.repeat(F.lit(" "), F.col("i") % 5), F.when(F.col("i") % 2 == 0, "\t ").otherwise(""), "x")).alias("indent"))
 
 
