@@ -88,8 +88,9 @@ def measures(w: Column, text: Column) -> dict[str, Column]:
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row with the array of log-ratios by bucket, from docs(doc_id, text) and the doc_ids that are trusted."""
     marks = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(1))
-    counts = docs.join(small_side(marks, 64), "doc_id", "left").select(F.explode(let(words(F.col("text")), buckets)).alias("bucket"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
-    counts = cut(counts.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("own")), "ngrams")  # BUCKETS rows at most
+    # Outer, as a filter that Catalyst infers for an inner generator would hash every text a second time.
+    counts = docs.join(small_side(marks, 64), "doc_id", "left").select(F.explode_outer(let(words(F.col("text")), buckets)).alias("bucket"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
+    counts = cut(counts.where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("own")), "ngrams")  # BUCKETS rows at most
     total = counts.agg(F.sum("raw").alias("all_raw"), F.sum("own").alias("all_own")).first()
     n, t = float(total.all_raw or 1), float(total.all_own or 0)
     prior = PRIOR * t + LEAST_COUNTS * BUCKETS
