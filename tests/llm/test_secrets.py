@@ -163,3 +163,55 @@ def test_tables_are_the_network():
     whole = S._forward(net, x)[0]
     assert np.abs(S.logits(net, x) - whole).max() < 1e-3 * max(1, np.abs(whole).max())
     assert 0 <= net["threshold"] <= 1
+
+
+def labelled_windows(texts):
+    """Distinct windows of findings, and windows of candidates beside none, of all texts one by one."""
+    import numpy as np
+    import pyarrow as pa
+
+    yes, no = [], []
+    for t in texts:
+        raw, offsets = S.utf8(pa.array([t]))
+        _, s, e, d, meets, holds, _, _ = S.scan(raw, offsets)
+        x = S.windows(raw, offsets, s, e, d)
+        yes.append(x[holds])
+        no.append(x[~holds & ~meets])
+    return np.unique(np.concatenate(yes), axis=0), np.concatenate(no)
+
+
+def test_all_windows_train_and_all_held_out_findings_set_the_threshold(spark, docs):
+    known, harmless, _ = corpus()
+    texts = known + harmless
+    net = S.train_on(docs(texts).repartition(6), trained=30)
+    yes, no = labelled_windows(texts)
+    asked = yes[S.held_out(S.hashes(yes))]
+    assert len(yes) > 300 and net["read"] == (len(yes) - len(asked)) + int((~S.held_out(S.hashes(no))).sum())
+    assert net["asked"] == 2 * len(asked) > 6 * 30  # with its own and with a swapped context
+    assert (S.probabilities(net, asked) >= net["threshold"]).mean() >= 0.97
+
+
+def test_what_the_start_never_saw_is_learnt(spark, docs):
+    """Harmless runs without a digit that look like hexadecimal values; hashes keep nearly all out of the start."""
+    known, harmless, _ = corpus()
+    rng = random.Random(21)
+    alike = lambda: "".join(rng.choice("abcdef") for _ in range(20))
+    texts = known + harmless + [text(rng, alike()) for _ in range(400)]
+    frame = docs(texts).repartition(6)
+    start, seen = S.start_on(frame, 20)
+    nets = [S.calibrated(frame, n) for n in (start, S.descended(frame, start, seen))]
+    _, new = labelled_windows([text(rng, alike()) for _ in range(200)])
+    new = new[(new[:, S.LEFT + 19] != 0)]
+    wrong = [(S.probabilities(n, new) >= n["threshold"]).mean() for n in nets]
+    assert len(new) == 200 and wrong[0] > 0.5 and wrong[1] < 0.6 * wrong[0], wrong
+
+
+def test_windows_at_the_ends_are_brute_force():
+    import pyarrow as pa
+
+    rng = random.Random(22)
+    texts = [bytes(rng.choice(b"abc1/ .") for _ in range(rng.choice([0, 1, 8, 9, 40, 200]))).decode().replace(" ", " " * rng.randrange(2)) for _ in range(300)]
+    raw, offsets = S.utf8(pa.array(texts))
+    s, e, d = S.candidates(raw, offsets)
+    for row, a, b, t in zip(S.windows(raw, offsets, s, e, d), s - offsets[d], e - offsets[d], (texts[i].encode() for i in d), strict=True):
+        assert bytes(row) == t[max(a - S.LEFT, 0) : a].rjust(S.LEFT, b"\0") + t[a : min(b, a + S.BODY)].ljust(S.BODY, b"\0") + t[b : b + S.RIGHT].ljust(S.RIGHT, b"\0")
